@@ -27,17 +27,18 @@ IGNORABLE = (
 #: Compatibility characters of these kinds don't look like what they stand for, so they stay.
 DISTINCT_KINDS = ("<super>", "<sub>", "<circle>", "<fraction>", "<square>")
 LINE_ENDS = re.compile("\r\n?|[\x0b\x0c\x85\u2028\u2029]")
+CONTROLS = re.compile("[\x00-\x09\x0b-\x1f\x7f\x85\u2028\u2029]")
+ASCII_CONTROLS = {c: None for c in (*range(32), 127) if c not in (9, 10)} | {9: " "}
+SEGMENT = re.compile("[!-~]?[^\x00-\x7f][^ \n]*")
 _PRIVATE = 0x100000
 
 
 @cache
-def _tables(fold: bool) -> tuple[re.Pattern, dict[int, str | None], dict[int, str]]:
-    """The pattern of characters to act on, what each becomes before normalisation, and what to put back after it."""
+def _tables(fold: bool) -> tuple[dict[int, str | None], dict[int, str]]:
+    """What characters become before normalisation, and what to put back after it."""
     to: dict[int, str | None] = {}
     for lo, hi in IGNORABLE:
         to.update(dict.fromkeys(range(lo, hi + 1)))
-    to.update({c: None for c in range(32) if c not in (9, 10)})
-    to[127] = None
     for s in (CYRILLIC, GREEK, ARMENIAN_LATIN):
         to.update({ord(a): b for a, b in zip(s[::2], s[1::2])})
     to.update(dict.fromkeys(map(ord, HYPHENS), "-"))
@@ -49,28 +50,47 @@ def _tables(fold: bool) -> tuple[re.Pattern, dict[int, str | None], dict[int, st
         elif not fold and unicodedata.decomposition(ch).startswith(DISTINCT_KINDS):
             stand_in = _PRIVATE + len(back)
             to[c], back[stand_in] = chr(stand_in), ch
-    to[9] = " "
     return to, back
 
 
+def _whole(text: str, fold_case: bool) -> str:
+    to, back = _tables(fold_case)
+    s = unicodedata.normalize("NFKC", unicodedata.normalize("NFD", text).translate(to))
+    if fold_case:
+        s = unicodedata.normalize("NFKC", s.casefold())
+    # what only normalisation brought to light
+    s = unicodedata.normalize("NFC", unicodedata.normalize("NFD", s).translate(to))
+    return s.translate(back) if back else s
+
+
+_segments: dict[str, str] = {}
+
+
+def _segment(m: re.Match) -> str:
+    """A piece of text from the letter before its first character beyond ASCII to the next blank: what composes lies within
+    it. Short pieces come again and again, so each distinct one is treated once."""
+    x = m[0]
+    s = _segments.get(x)
+    if s is None:
+        s = _whole(x, False)
+        if len(x) <= 40:
+            if len(_segments) >= 500_000:
+                _segments.clear()
+            _segments[x] = s
+    return s
+
+
 def canonical_form(text: str, fold_case: bool = False) -> str:
     """One form for texts that look the same: canonically decomposed, look-alike letters and hyphens replaced, line ends,
     white space and default-ignorable characters mapped or removed, then compatibility-composed (NFKC).
 
     Case stays unless fold_case, which adds full case folding and lets raised digits, fractions and circled characters
     become plain ones, for looser comparisons."""
-    if text.isascii():
-        if "\r" in text or "\t" in text or not text.isprintable():
-            text = LINE_ENDS.sub("\n", text).translate(_tables(fold_case)[0])
-        return text.casefold() if fold_case else text
-    to, back = _tables(fold_case)
-    s = unicodedata.normalize("NFD", LINE_ENDS.sub("\n", text)).translate(to)
-    s = unicodedata.normalize("NFKC", s)
+    if CONTROLS.search(text):
+        text = LINE_ENDS.sub("\n", text).translate(ASCII_CONTROLS)
     if fold_case:
-        s = unicodedata.normalize("NFKC", s.casefold())
-    # what only normalisation brought to light
-    s = unicodedata.normalize("NFC", unicodedata.normalize("NFD", s).translate(to))
-    return s.translate(back) if back else s
+        return text.casefold() if text.isascii() else _whole(text, True)
+    return text if text.isascii() else SEGMENT.sub(_segment, text)
 
 
 def canonical(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", fold_case: bool = False) -> DataFrame:
