@@ -56,7 +56,7 @@ def _pairs_of(q: str) -> list[str]:
 
 
 def _vectors(ranks: dict[str, int]):
-    """Rows (form, group, text) to rows (form, group, text, n, terms, prefix), terms coded and the rarest first."""
+    """Adds n, terms, prefix and two 64-bit marks to rows (group, text, ...), terms coded and the rarest first."""
 
     def code(g: str) -> int:
         """Frequent terms by falling rank, all others before them by their own letters."""
@@ -66,7 +66,7 @@ def _vectors(ranks: dict[str, int]):
     def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         lengths: dict[int, int] = {}
         for pdf in it:
-            ns, terms, prefix = [], [], []
+            ns, terms, prefix, marks = [], [], [], ([], [])
             for q in pdf.text:
                 n = len(q)
                 if n not in lengths:
@@ -75,7 +75,10 @@ def _vectors(ranks: dict[str, int]):
                 ns.append(n)
                 terms.append(t)
                 prefix.append(t[: lengths[n]])
-            yield pdf.assign(n=np.array(ns, dtype="int32"), terms=terms, prefix=prefix)
+                for m, by in zip(marks, (2654435761, 2246822519)):
+                    at = ((t * by) >> 20 & 63).astype("uint64")
+                    m.append(np.bitwise_or.reduce(np.uint64(1) << at).astype("int64"))
+            yield pdf.assign(n=np.array(ns, dtype="int32"), terms=terms, prefix=prefix, m1=marks[0], m2=marks[1])
 
     return run
 
@@ -87,7 +90,8 @@ def cosine_join(forms: DataFrame, known_terms: int = 4096) -> DataFrame:
     forms(group, text, left, right) holds each text of a group once, no text being empty. The vectors count adjacent
     characters of the blank-padded text, each occurrence a term of weight one over the root of their number. The terms
     of a vector's prefix (see prefix_length) make the inverted lists, which are kept apart by group and text length, so
-    that only lists of partners come together. Candidates are verified by their exact dot product. The order of terms,
+    that only lists of partners come together. Candidates are verified by their exact dot product, after a look at two
+    64-bit marks of their term sets, which bounds it. The order of terms,
     rarest first, comes from counts over all texts; the known_terms most frequent are ranked, so what is broadcast is
     bounded, and all others count as rare. The join is an equi-join whose hot lists adaptive execution splits."""
     spark = forms.sparkSession
@@ -96,18 +100,20 @@ def cosine_join(forms: DataFrame, known_terms: int = 4096) -> DataFrame:
     # a later occurrence of a pair is rarer than its first: three steps of rank each
     order = sorted(((i * 4 ** (k - 1) + k, g, k) for i, g in enumerate(top, 1) for k in range(1, 6)), reverse=True)
     ranks = spark.sparkContext.broadcast({(g if k == 1 else f"{g}{k}"): at for at, (_, g, k) in enumerate(order)})
-    schema = "group string, text string, left boolean, right boolean, n int, terms array<bigint>, prefix array<bigint>"
+    schema = "group string, text string, left boolean, right boolean, n int, terms array<bigint>, prefix array<bigint>, m1 bigint, m2 bigint"
     v = cut(forms.select("group", "text", "left", "right").mapInPandas(lambda it: _vectors(ranks.value)(it), schema))
     longest = v.agg(F.max("n")).first()[0] or 0
-    a = v.where("left").select("group", F.col("text").alias("text_a"), F.col("n").alias("na"), F.col("terms").alias("ta"), F.explode("prefix").alias("term"), F.col("n").alias("band"))
+    a = v.where("left").select("group", F.col("text").alias("text_a"), F.col("n").alias("na"), F.col("terms").alias("ta"), F.col("m1").alias("a1"), F.col("m2").alias("a2"), F.explode("prefix").alias("term"), F.col("n").alias("band"))
     near = F.filter(F.sequence(F.greatest(F.lit(1), F.col("n") - MAX_EDITS), F.col("n") + MAX_EDITS), lambda m: (F.abs(m - F.col("n")) <= F.least(F.lit(MAX_EDITS), F.floor(F.greatest(m, "n") / EDIT_SHARE))) & (m <= longest))
-    b = v.where("right").select("group", F.col("text").alias("text_b"), F.col("n").alias("nb"), F.col("terms").alias("tb"), F.explode("prefix").alias("term"), near.alias("bands"))
-    b = b.select("group", "text_b", "nb", "tb", "term", F.explode("bands").alias("band"))
+    b = v.where("right").select("group", F.col("text").alias("text_b"), F.col("n").alias("nb"), F.col("terms").alias("tb"), F.col("m1").alias("b1"), F.col("m2").alias("b2"), F.explode("prefix").alias("term"), near.alias("bands"))
+    b = b.select("group", "text_b", "nb", "tb", "b1", "b2", "term", F.explode("bands").alias("band"))
     dot = F.size(F.array_intersect("ta", "tb"))
     size = F.sqrt((F.col("na") + 1.0) * (F.col("nb") + 1.0))
     long = F.greatest("na", "nb")
-    least = long + 1 - 2 * F.least(F.lit(MAX_EDITS), F.floor(long / EDIT_SHARE))
-    got = a.join(b, ["group", "term", "band"]).where(F.col("text_a") != F.col("text_b")).where(dot >= least)
+    most = F.least(F.lit(MAX_EDITS), F.floor(long / EDIT_SHARE))
+    # an edit takes at most two terms and brings at most two, so the marks of two near vectors differ in few bits
+    differ = lambda x, y: F.bit_count(F.col(x).bitwiseXOR(F.col(y))) <= 4 * most
+    got = a.join(b, ["group", "term", "band"]).where(differ("a1", "b1") & differ("a2", "b2") & (dot >= long + 1 - 2 * most) & (F.col("text_a") != F.col("text_b")))
     return got.select("group", "text_a", "text_b", (dot / size).alias("cosine")).distinct()
 
 
@@ -135,7 +141,8 @@ def overlaps(df: DataFrame, row_id: str = "row_index", doc_id: str = "docid", qu
     by_id = left.where("_q is not null").join(right.select("group", "held_row", "_q"), ["group", "_q"]).select("train_row", "held_row", F.lit(1).alias("way"))
     by_text = left.where("text != ''").join(right.select("group", "held_row", "text"), ["group", "text"]).select("train_row", "held_row", F.lit(2).alias("way"))
     forms = r.where("text != ''").groupBy("group", "text").agg(F.max("left").alias("left"), F.max("right").alias("right"))
-    close = cut(cosine_join(forms).where(nearly_same(F.col("text_a"), F.col("text_b"))).select("group", "text_a", "text_b"))
+    # written first: else the planner would check each candidate before its dot product is known
+    close = cut(cosine_join(forms)).where(nearly_same(F.col("text_a"), F.col("text_b"))).select("group", "text_a", "text_b")
     by_near = (
         close.join(left.select("group", F.col("text").alias("text_a"), "train_row"), ["group", "text_a"])
         .join(right.select("group", F.col("text").alias("text_b"), "held_row"), ["group", "text_b"])
