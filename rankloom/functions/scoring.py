@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column
@@ -49,10 +50,15 @@ def norm(a: Column) -> Column:
     return F.sqrt(dot(a, a))
 
 
+def _let(value: Column, then: Callable[[Column], Column]) -> Column:
+    """then(value), with the value computed once, however often `then` uses it below other lambdas."""
+    return F.get(F.transform(F.array(value), then), 0)
+
+
 def scaled(a: Column) -> Column:
     """Unit length; a zero vector stays."""
-    n = norm(a)
-    return F.transform(a, lambda x: F.when(n > 0, x.cast("double") / n).otherwise(F.lit(0.0)))
+    part = lambda n: lambda x: F.when(n > 0, x.cast("double") / n).otherwise(F.lit(0.0))
+    return _let(a, lambda v: _let(norm(v), lambda n: F.transform(v, part(n))))
 
 
 def cosine(a: Column, b: Column) -> Column:
@@ -65,10 +71,9 @@ def euclidean(a: Column, b: Column) -> Column:
 
 def layer_norm(a: Column, eps: float = 1e-5) -> Column:
     """Zero mean and unit population variance."""
-    total = lambda arr: F.aggregate(arr, F.lit(0.0), lambda s, x: s + x.cast("double"))
-    mean = total(a) / F.size(a)
-    var = F.aggregate(a, F.lit(0.0), lambda s, x: s + F.pow(x.cast("double") - mean, 2)) / F.size(a)
-    return F.transform(a, lambda x: (x.cast("double") - mean) / F.sqrt(var + eps))
+    mean = lambda arr: F.aggregate(arr, F.lit(0.0), lambda s, x: s + x.cast("double")) / F.size(arr)
+    centred = lambda m: F.transform(a, lambda x: x.cast("double") - m)
+    return _let(_let(mean(a), centred), lambda c: _let(F.sqrt(dot(c, c) / F.size(c) + eps), lambda d: F.transform(c, lambda x: x / d)))
 
 
 def truncated(a: Column, dims: int) -> Column:

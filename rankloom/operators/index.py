@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rankloom.functions.text import runs_of, starts_of, term_runs, tokens, trigrams
+from rankloom.session import cut
 from rankloom.sources.readers import corpus, dense_index
 from rankloom.sources.writers import write_postings
 
@@ -78,15 +79,15 @@ def trigrams_of(terms: DataFrame) -> DataFrame:
     return g.select("trigram", "term", "n")
 
 
-def build_index(raw: DataFrame, doc_id: str | None = None) -> SearchIndex:
+def build_index(raw: DataFrame, doc_id: str | None = None, written: bool = False) -> SearchIndex:
     """Index of a corpus (docid, url, title, body), one document for each distinct docid.
 
-    Documents are numbered in the order of docid, unless the column doc_id already numbers them. The tables are lazy; save
-    the index, or cache its postings, before asking it many things."""
+    Documents are numbered in the order of docid, unless the column doc_id already numbers them. The tables are lazy, so
+    save the index before asking it many things; `written` checkpoints those that all queries go back to."""
+    keep = cut if written else lambda df: df
     docs = corpus(raw)
     docs = docs.join(raw.select("docid", F.col(doc_id).alias("doc_id")).distinct(), "docid") if doc_id else dense_index(docs, ["docid"])
-    docs = docs.select("doc_id", "docid", "url", "title", "body")
-    postings = postings_of(docs)
-    lengths = lengths_of(docs)
-    by_term = postings.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf_body").alias("in_bodies"))
+    docs = keep(docs.select("doc_id", "docid", "url", "title", "body"))
+    postings, lengths = keep(postings_of(docs)), keep(lengths_of(docs))
+    by_term = keep(postings.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf_body").alias("in_bodies")))
     return SearchIndex(docs, postings, by_term.select("term", "df"), trigrams_of(by_term.where("in_bodies > 0")), lengths, corpus_stats_of(lengths))

@@ -5,13 +5,14 @@ from __future__ import annotations
 from collections.abc import Callable
 from functools import wraps
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rankloom.functions import scoring as S
 from rankloom.functions.text import snippet, tokens
 from rankloom.operators import dense, ltr
-from rankloom.operators.index import SearchIndex, build_index, tokenized
+from rankloom.operators.index import build_index, tokenized
 from rankloom.operators.ranker import RankingModel
 from rankloom.operators.search import FEATURES, SearchEngine, frequent_terms, with_idf
 from rankloom.operators.spelling import corrections, jaccard_candidates
@@ -51,27 +52,12 @@ def engine(spark: SparkSession, d: str) -> SearchEngine:
     """The index of msmarco_docs, built once a session and folder, as a server opens its index once."""
     key = (spark.sparkContext.applicationId, d)
     if key not in _open:
-        i = build_index(read_table(spark, d, "msmarco_docs"))
-        i.docs = cut(i.docs)
-        fresh = _index_over(i.docs)
-        fresh.postings = cut(fresh.postings)
-        t = fresh.postings.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf_body").alias("in_bodies"))
-        t = cut(t)
-        from rankloom.operators.index import trigrams_of
-
-        fresh.terms, fresh.trigrams = t.select("term", "df"), trigrams_of(t.where("in_bodies > 0"))
-        _open[key] = SearchEngine(fresh)
-        _open[key].stats  # noqa: B018
+        e = SearchEngine(build_index(read_table(spark, d, "msmarco_docs"), written=True))
+        e.stats  # noqa: B018
+        _open[key] = e
     return _open[key]
 
 
-def _index_over(docs: DataFrame) -> SearchIndex:
-    from rankloom.operators.index import corpus_stats_of, lengths_of, postings_of
-
-    lengths = lengths_of(docs)
-    return SearchIndex(docs, postings_of(docs), docs, docs, lengths, corpus_stats_of(lengths))
-
-
 def _batch(spark: SparkSession, d: str) -> list[tuple[int, str]]:
     """The stated query set: every query whose id is divisible by 50."""
     q = read_table(spark, d, "train_queries").where("queryid % 50 = 0 and query is not null").groupBy("queryid").agg(F.min("query").alias("query"))
@@ -320,9 +306,10 @@ def offline_features(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _lists(spark: SparkSession, d: str) -> DataFrame:
-    """The run's lists, scored by the run; the positive is a query's judged document of rel 1 or more, the smallest docid."""
+    """The run's lists, scored by the run; the positive is, of its documents judged with rel 1 or more, the one of smallest docid."""
     run = _run(spark, d).groupBy("queryid", "docid").agg(F.max("score").alias("score")).where("score is not null and docid is not null and queryid is not null")
-    pos = read_table(spark, d, "train_qrels").where("rel >= 1").groupBy("queryid").agg(F.min("docid").alias("pos"))
+    judged = read_table(spark, d, "train_qrels").where("rel >= 1").select("queryid", "docid").distinct()
+    pos = run.join(judged, ["queryid", "docid"]).groupBy("queryid").agg(F.min("docid").alias("pos"))
     return run.join(pos, "queryid").select("queryid", "docid", "score", (F.col("docid") == F.col("pos")).cast("int").alias("label"))
 
 
@@ -347,8 +334,7 @@ def mlp_forward(spark: SparkSession, d: str) -> DataFrame:
 @query
 def reranked_results(spark: SparkSession, d: str) -> DataFrame:
     e = engine(spark, d)
-    ranker = RankingModel([[*map(list, zip(*w))] for w, _ in LAYERS], [b for _, b in LAYERS])
-    ranker = RankingModel([__import__("numpy").array(w) for w in ranker.weights], [__import__("numpy").array(b) for b in ranker.biases])
+    ranker = RankingModel([np.array(w).T for w, _ in LAYERS], [np.array(b) for _, b in LAYERS])
     return SearchEngine(e.index, ranker.scorer(spark)).search(_batch(spark, d), SearchMode.OR, spelling=False).select("qid", "rank", F.round("score", 6).alias("score"), "docid")
 
 

@@ -68,7 +68,7 @@ _RUN = "(SELECT *, rank_no AS rank FROM top100_run)"
 _PAIRS = "(SELECT DISTINCT queryid, docid, rel FROM train_qrels WHERE docid IS NOT NULL)"
 _NEG = "neg AS (SELECT row_index AS idx, match_rank, " + "unnest([" + ", ".join(map(str, TRAIN_RANKS)) + "]) AS neg_rank, unnest([" + ", ".join(f"neg_{r}" for r in TRAIN_RANKS) + "]) AS neg_docid FROM train_with_negatives)"
 _LISTS = f"""WITH run AS (SELECT queryid, docid, max(score) AS score FROM {_RUN} WHERE score IS NOT NULL AND docid IS NOT NULL AND queryid IS NOT NULL GROUP BY ALL),
-pos AS (SELECT queryid, min(docid) AS pos FROM train_qrels WHERE rel >= 1 GROUP BY 1),
+pos AS (SELECT queryid, min(docid) AS pos FROM run JOIN (SELECT DISTINCT queryid, docid FROM train_qrels WHERE rel >= 1) USING (queryid, docid) GROUP BY 1),
 lists AS (SELECT queryid, docid, score, CAST(docid = pos AS INT) AS label FROM run JOIN pos USING (queryid))"""
 _VEC = """v AS MATERIALIZED (SELECT vec_id, any_value(docid) AS docid, any_value(CAST(embedding AS DOUBLE[])) AS e FROM doc_vectors WHERE vec_id IS NOT NULL AND len(embedding) = 64
   AND NOT list_bool_or(list_transform(embedding, lambda x: x IS NULL OR isnan(x))) AND list_bool_or(list_transform(embedding, lambda x: x <> 0)) GROUP BY 1),
@@ -110,7 +110,7 @@ def oracle_sql() -> dict[str, str]:
     picked = f"""CASE WHEN coalesce(try_cast(match_rank AS INT), 0) = 0 THEN neg_rank IN ({", ".join(map(str, near + far))})
  WHEN try_cast(match_rank AS INT) <= 6 THEN (neg_rank <= 6 AND neg_rank <> try_cast(match_rank AS INT)) OR neg_rank > 95
  ELSE neg_rank <= 5 OR (neg_rank > 94 AND neg_rank <> try_cast(match_rank AS INT)) END"""
-    soft = "exp({0} - max({0}) OVER w) / sum(exp({0} - max({0}) OVER w)) OVER w"
+    soft = "exp({0}) / sum(exp({0})) OVER w"
     return {
         "tokenize_stats": f"WITH {_DOCS} SELECT doc_id, len(tt) AS n_title, len(bt) AS n_body, len(list_distinct(bt)) AS n_distinct FROM tok",
         "postings_build": f"""WITH {_DOCS} SELECT term, doc_id, coalesce(string_agg(CAST(pos AS VARCHAR), ',' ORDER BY pos) FILTER (field = 0), '') AS pos_title,
@@ -155,7 +155,7 @@ SELECT CASE WHEN i < floor(n * 0.8) THEN 'train' WHEN i < floor(n * 0.9) THEN 'v
         "offline_features": _offline(),
         "ranking_metrics": f"""{_LISTS}, p AS (SELECT queryid, max(score) AS p FROM lists WHERE label = 1 GROUP BY 1), r AS (SELECT queryid, 1 + count(*) FILTER (score > p AND label <> 1) AS rank FROM lists JOIN p USING (queryid) GROUP BY 1)
 SELECT count(*) AS n, round(avg(CASE WHEN rank <= 10 THEN 1 / rank ELSE 0 END), 6) AS mrr, round(avg(CASE WHEN rank <= 10 THEN 1 / log2(rank + 1) ELSE 0 END), 6) AS ndcg FROM r""",
-        "listwise_loss": f"""{_LISTS}, a AS (SELECT queryid, label, {soft.format("score")} AS p FROM lists WINDOW w AS (PARTITION BY queryid)), b AS (SELECT queryid, label, {soft.format("p")} AS q FROM a WINDOW w AS (PARTITION BY queryid))
+        "listwise_loss": f"""{_LISTS}, z AS (SELECT queryid, label, score - max(score) OVER (PARTITION BY queryid) AS s FROM lists), a AS (SELECT queryid, label, {soft.format("s")} AS p FROM z WINDOW w AS (PARTITION BY queryid)), b AS (SELECT queryid, label, {soft.format("p")} AS q FROM a WINDOW w AS (PARTITION BY queryid))
 SELECT queryid, round(sum(-ln(q)), 6) AS loss FROM b WHERE label = 1 GROUP BY 1""",
         "mlp_forward": _mlp(),
         "cosine_topk": f"WITH {_VEC} SELECT qid, vec_id, rank, round(similarity, 6) AS similarity FROM (SELECT *, {_COS.format(id='vec_id')} FROM (SELECT a.vec_id AS qid, b.vec_id, round(list_inner_product(a.e, b.e), 9) AS similarity FROM u a, u b WHERE a.vec_id % 50 = 0) QUALIFY rank <= 100)",
