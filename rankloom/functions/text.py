@@ -50,7 +50,8 @@ def has_phrase(positions: list[Column]) -> Column:
     """Whether the i-th list has p + i for some p, for all i."""
     if len(positions) == 1:
         return F.size(positions[0]) > 0
-    starts = [F.transform(p, lambda x, i=i: x - i) for i, p in enumerate(positions)]
+    back = lambda i: lambda x: x - i
+    starts = [F.transform(p, back(i)) for i, p in enumerate(positions)]
     both = starts[0]
     for s in starts[1:]:
         both = F.array_intersect(both, s)

@@ -1,7 +1,6 @@
 import math
 
 import numpy as np
-import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -105,7 +104,7 @@ def test_vector_functions(spark):
 def test_exact_and_pruned_search(spark):
     rng = np.random.default_rng(3)
     m = rng.normal(size=(200, 6)).astype("f4")
-    df = spark.createDataFrame(pd.DataFrame({"doc_id": range(200), "embedding": list(m)})).repartition(5)
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(m.tolist())], "doc_id bigint, embedding array<float>").repartition(5)
     q = [(7, m[7].tolist()), (9, m[9].tolist())]
     u = m / np.linalg.norm(m, axis=1)[:, None]
     want = {i: np.argsort(-np.round(u @ u[i], 9), kind="stable")[:5].tolist() for i in (7, 9)}
