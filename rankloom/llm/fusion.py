@@ -18,7 +18,7 @@ def ideal_point_ranking(
     row_id: str = "row_index",
     unit: str | None = "source",
     weights: dict[str, float] | None = None,
-    tail: float = 0.02,
+    tail: float = 0.05,
     accuracy: int = 10_000,
 ) -> DataFrame:
     """(query_id, row_id, closeness, place): the records of each query by relative closeness to the ideal point.

@@ -57,10 +57,27 @@ k AS (SELECT DISTINCT r.row_index, coalesce(comp.c, qc.c) AS group_docid, coales
   FROM r LEFT JOIN comp ON r.d = comp.d LEFT JOIN qc ON r.queryid = qc.queryid)
 SELECT row_index, group_docid FROM k QUALIFY count(*) OVER (PARTITION BY key) > 1"""
 
+_ORDER_COLS = {"bm25_score": 1, "bm25_score_title": 1, "body_length_norm": 1, "body_first_occurrence_mean": -1}
+
+
+def _order() -> str:
+    cols = list(_ORDER_COLS)
+    finite = ", ".join(f"CASE WHEN isfinite({c}) THEN {c} END AS {c}" for c in cols)
+    cuts = ", ".join(f"quantile_disc({c}, 0.05) AS a{i}, quantile_disc({c}, 0.95) AS b{i}" for i, c in enumerate(cols))
+    bounded = ", ".join(f"CASE WHEN {c} IS NOT NULL THEN least(greatest({c}, a{i}), b{i}) END AS x{i}" for i, c in enumerate(cols))
+    stats = ", ".join(f"nullif(sqrt(avg(x{i} * x{i})), 0) AS n{i}, {'max' if _ORDER_COLS[c] > 0 else 'min'}(x{i}) AS h{i}, {'min' if _ORDER_COLS[c] > 0 else 'max'}(x{i}) AS l{i}" for i, c in enumerate(cols))
+    part = lambda i, to: f"coalesce(pow((x{i} / n{i} - {to}{i} / n{i}) / nullif(abs(h{i} / n{i} - l{i} / n{i}), 0), 2), 0.25)"
+    far = lambda to: "sqrt(" + " + ".join(part(i, to) for i in range(len(cols))) + ")"
+    return f"""WITH x AS (SELECT queryid, row_index, coalesce(source, '') AS u, {finite} FROM train_with_negatives),
+c AS (SELECT u, {cuts} FROM x GROUP BY 1), w AS (SELECT queryid, row_index, u, {bounded} FROM x JOIN c USING (u)), s AS (SELECT u, {stats} FROM w GROUP BY 1)
+SELECT queryid, row_index, row_number() OVER (PARTITION BY queryid ORDER BY round({far("l")} / ({far("h")} + {far("l")}), 9) DESC, row_index) AS place
+FROM w JOIN s USING (u) WHERE queryid IS NOT NULL"""
+
 
 def oracle_sql() -> dict[str, str]:
     return {
         "p1_found": _GROUPS,
+        "p2_order": _order(),
         "p3_found": _P3 + "SELECT DISTINCT least(tr, hr) AS row_index_a, greatest(tr, hr) AS row_index_b FROM o",
         "p3_counts": _P3 + "SELECT split, source, count(DISTINCT hr) AS records, count(DISTINCT (tr, hr)) AS pairs FROM o GROUP BY 1, 2",
         "p4_found": f"WITH {_COLLECTION} SELECT 'body' AS field, record_key, term FROM bt JOIN s USING (term) WHERE tf >= 3 AND df <= 3 UNION SELECT 'query', record_key, term FROM qt JOIN s USING (term) WHERE df <= 3",
