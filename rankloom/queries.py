@@ -306,11 +306,10 @@ def offline_features(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _lists(spark: SparkSession, d: str) -> DataFrame:
-    """The run's lists, scored by the run; the positive is, of its documents judged with rel 1 or more, the one of smallest docid."""
-    run = _run(spark, d).groupBy("queryid", "docid").agg(F.max("score").alias("score")).where("score is not null and docid is not null and queryid is not null")
-    judged = read_table(spark, d, "train_qrels").where("rel >= 1").select("queryid", "docid").distinct()
-    pos = run.join(judged, ["queryid", "docid"]).groupBy("queryid").agg(F.min("docid").alias("pos"))
-    return run.join(pos, "queryid").select("queryid", "docid", "score", (F.col("docid") == F.col("pos")).cast("int").alias("label"))
+    """Each query's records by their BM25 score; the positive is, of those judged with rel 1 or more, the one of smallest row."""
+    r = read_table(spark, d, "train_with_negatives").where("queryid is not null and bm25_score is not null and not isnan(bm25_score)").select("queryid", "row_index", "rel", F.col("bm25_score").alias("score"))
+    pos = r.where("rel >= 1").groupBy("queryid").agg(F.min("row_index").alias("pos"))
+    return r.join(pos, "queryid").select("queryid", "row_index", "score", (F.col("row_index") == F.col("pos")).cast("int").alias("label"))
 
 
 @query

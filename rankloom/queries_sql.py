@@ -67,9 +67,9 @@ cand AS MATERIALIZED (SELECT * FROM jac QUALIFY row_number() OVER (PARTITION BY
 _RUN = "(SELECT *, rank_no AS rank FROM top100_run)"
 _PAIRS = "(SELECT DISTINCT queryid, docid, rel FROM train_qrels WHERE docid IS NOT NULL)"
 _NEG = "neg AS (SELECT row_index AS idx, match_rank, " + "unnest([" + ", ".join(map(str, TRAIN_RANKS)) + "]) AS neg_rank, unnest([" + ", ".join(f"neg_{r}" for r in TRAIN_RANKS) + "]) AS neg_docid FROM train_with_negatives)"
-_LISTS = f"""WITH run AS (SELECT queryid, docid, max(score) AS score FROM {_RUN} WHERE score IS NOT NULL AND docid IS NOT NULL AND queryid IS NOT NULL GROUP BY ALL),
-pos AS (SELECT queryid, min(docid) AS pos FROM run JOIN (SELECT DISTINCT queryid, docid FROM train_qrels WHERE rel >= 1) USING (queryid, docid) GROUP BY 1),
-lists AS (SELECT queryid, docid, score, CAST(docid = pos AS INT) AS label FROM run JOIN pos USING (queryid))"""
+_LISTS = """WITH r AS (SELECT queryid, row_index, rel, bm25_score AS score FROM train_with_negatives WHERE queryid IS NOT NULL AND bm25_score IS NOT NULL AND NOT isnan(bm25_score)),
+pos AS (SELECT queryid, min(row_index) AS pos FROM r WHERE rel >= 1 GROUP BY 1),
+lists AS (SELECT queryid, row_index, score, CAST(row_index = pos AS INT) AS label FROM r JOIN pos USING (queryid))"""
 _VEC = """v AS MATERIALIZED (SELECT vec_id, any_value(docid) AS docid, any_value(CAST(embedding AS DOUBLE[])) AS e FROM doc_vectors WHERE vec_id IS NOT NULL AND len(embedding) = 64
   AND NOT list_bool_or(list_transform(embedding, lambda x: x IS NULL OR isnan(x))) AND list_bool_or(list_transform(embedding, lambda x: x <> 0)) GROUP BY 1),
 u AS MATERIALIZED (SELECT vec_id, docid, list_transform(e, lambda x: x / sqrt(list_inner_product(e, e))) AS e FROM v)"""
