@@ -153,8 +153,8 @@ SELECT p.queryid, p.docid, p.rel, m.r AS match FROM {_PAIRS} p JOIN q USING (que
         "split_sizes": """WITH o AS (SELECT row_index, row_number() OVER (ORDER BY md5(row_index || '-42'), row_index) - 1 AS i, count(*) OVER () AS n FROM train_with_negatives)
 SELECT CASE WHEN i < floor(n * 0.8) THEN 'train' WHEN i < floor(n * 0.9) THEN 'val' ELSE 'test' END AS split, count(*) AS n, sum(row_index) AS sum_index FROM o GROUP BY 1""",
         "offline_features": _offline(),
-        "ranking_metrics": f"""{_LISTS}, p AS (SELECT queryid, max(score) AS p FROM lists WHERE label = 1 GROUP BY 1), r AS (SELECT queryid, 1 + count(*) FILTER (score > p AND label <> 1) AS rank FROM lists JOIN p USING (queryid) GROUP BY 1)
-SELECT count(*) AS n, round(avg(CASE WHEN rank <= 10 THEN 1 / rank ELSE 0 END), 6) AS mrr, round(avg(CASE WHEN rank <= 10 THEN 1 / log2(rank + 1) ELSE 0 END), 6) AS ndcg FROM r""",
+        "ranking_metrics": f"""{_LISTS}, p AS (SELECT queryid, max(score) AS p FROM lists WHERE label = 1 GROUP BY 1), rk AS (SELECT queryid, 1 + count(*) FILTER (score > p AND label <> 1) AS rank FROM lists JOIN p USING (queryid) GROUP BY 1)
+SELECT count(*) AS n, round(avg(CASE WHEN rank <= 10 THEN 1 / rank ELSE 0 END), 6) AS mrr, round(avg(CASE WHEN rank <= 10 THEN 1 / log2(rank + 1) ELSE 0 END), 6) AS ndcg FROM rk""",
         "listwise_loss": f"""{_LISTS}, z AS (SELECT queryid, label, score - max(score) OVER (PARTITION BY queryid) AS s FROM lists), a AS (SELECT queryid, label, {soft.format("s")} AS p FROM z WINDOW w AS (PARTITION BY queryid)), b AS (SELECT queryid, label, {soft.format("p")} AS q FROM a WINDOW w AS (PARTITION BY queryid))
 SELECT queryid, round(sum(-ln(q)), 6) AS loss FROM b WHERE label = 1 GROUP BY 1""",
         "mlp_forward": _mlp(),
