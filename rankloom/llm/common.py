@@ -33,12 +33,15 @@ def one_per_key(df: DataFrame, key: str, *cols: str) -> DataFrame:
     return df.where(F.col(key).isNotNull()).groupBy(key).agg(kept).select(key, *[F.col("_kept")[c].alias(c) for c in cols])
 
 
-def expand_classes(pairs: DataFrame, members: DataFrame, limit: int = 10_000) -> DataFrame:
+def expand_classes(pairs: DataFrame, members: DataFrame, limit: int | None = None) -> DataFrame:
     """Pairs of members (id_a < id_b) from linked classes.
 
-    pairs(class_a, class_b): linked classes, class_a = class_b for links inside a class; members(class, id).
-    Links of up to `limit` member pairs are written out in full. Beyond it, the copies are not multiplied: each member
-    is linked to the other class's smallest member, so every member keeps its link and none is dropped."""
+    pairs(class_a, class_b): linked classes, each link once, class_a = class_b for links inside a class;
+    members(class, id). Without a limit every pair of every link is written; an id must then be in one class only.
+    With one, links of up to `limit` member pairs are written out in full; beyond it each member is linked to the other
+    class's smallest member alone, and the other pairs are left out."""
+    if limit is None:
+        return _all_pairs(pairs, members)
     sizes = members.groupBy("class").agg(F.count("*").alias("n"), F.min("id").alias("rep"))
     p = (
         pairs.join(sizes.select(F.col("class").alias("class_a"), F.col("n").alias("na"), F.col("rep").alias("ra")), "class_a")
@@ -52,3 +55,20 @@ def expand_classes(pairs: DataFrame, members: DataFrame, limit: int = 10_000) ->
     star = large.join(a, "class_a").select("ia", F.col("rb").alias("ib")).unionByName(large.join(b, "class_b").select(F.col("ra").alias("ia"), "ib"))
     out = full.unionByName(star).where(F.col("ia") != F.col("ib"))
     return out.select(F.least("ia", "ib").alias("id_a"), F.greatest("ia", "ib").alias("id_b")).distinct()
+
+
+def _all_pairs(pairs: DataFrame, members: DataFrame, block: int = 1000) -> DataFrame:
+    """expand_classes in full. Classes are cut by hash of the id into blocks of about `block` members and links into
+    pairs of blocks, so what is shuffled are lists of ids, and the pairs of a large class are made in many tasks."""
+    sizes = members.groupBy("class").agg(F.ceil(F.count("*") / block).alias("k"))
+    lists = members.join(sizes, "class").groupBy("class", F.pmod(F.xxhash64("id"), F.col("k")).alias("block")).agg(F.collect_list("id").alias("ids"))
+    side = lambda d, x: d.select(*[F.col(c).alias(f"{c}_{x}") for c in d.columns])
+    blocks = lambda x: F.explode(F.sequence(F.lit(0).cast("bigint"), F.col(f"k_{x}") - 1)).alias(f"block_{x}")
+    links = pairs.join(side(sizes, "a"), "class_a").join(side(sizes, "b"), "class_b")
+    links = links.select("class_a", "class_b", "k_b", blocks("a")).select("class_a", "class_b", "block_a", blocks("b"))
+    links = links.where("class_a != class_b or block_a <= block_b").join(side(lists, "a"), ["class_a", "block_a"]).join(side(lists, "b"), ["class_b", "block_b"])
+    # a fixed number of partitions: few bytes of lists become many pairs, so partitions must not be merged by size
+    links = links.repartition(int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions")), "class_a", "block_a", "class_b", "block_b")
+    same = (F.col("class_a") == F.col("class_b")) & (F.col("block_a") == F.col("block_b"))
+    out = links.select(same.alias("same"), F.explode("ids_a").alias("ia"), "ids_b").select("same", "ia", F.explode("ids_b").alias("ib")).where("not same or ia < ib")
+    return out.select(F.least("ia", "ib").alias("id_a"), F.greatest("ia", "ib").alias("id_b"))

@@ -81,14 +81,15 @@ def _linked(df: DataFrame, id_col: str, text_col: str, size: int, threshold: flo
     return s, cut(similar_sets(s.sets, threshold))
 
 
-def near_duplicate_pairs(df: DataFrame, id_col: str = "docid", text_col: str = "body", size: int = 5, threshold: float = 0.8, expand: int = 10_000) -> DataFrame:
+def near_duplicate_pairs(df: DataFrame, id_col: str = "docid", text_col: str = "body", size: int = 5, threshold: float = 0.8, expand: int | None = None) -> DataFrame:
     """(id_a, id_b), a < b: records whose sets of distinct runs of `size` consecutive words have a Jaccard similarity of
     at least `threshold`, equal sets among them.
 
     A record is a distinct non-null id (of differing rows the smallest text counts). Null, empty and shorter texts have
-    no runs and no partner. Texts are read whole. Other columns are ignored; an empty table gives an empty result. Links
-    between groups of copies are written out as pairs of records up to `expand` pairs a link; beyond, every copy is
-    linked to the other group's first record (see common.expand_classes)."""
+    no runs and no partner. Texts are read whole. Other columns are ignored; an empty table gives an empty result. Every
+    pair is written, however many records have equal sets, so the result grows with the square of such a group. With
+    `expand`, links of more than that many pairs are cut to those with the other group's first record; the bodies of a
+    group may differ (in case, markup, repeated passages), so pairs of different texts are then left out as well."""
     s, links = _linked(df, id_col, text_col, size, threshold)
     inside = s.members.groupBy("class").count().where("count > 1").select(F.col("class").alias("class_a"), F.col("class").alias("class_b"))
     return expand_classes(links.select("class_a", "class_b").unionByName(inside), s.members, expand)

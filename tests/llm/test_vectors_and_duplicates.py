@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from rankloom.llm import nearduplicates as nd
 from rankloom.llm import neighbours as nb
+from rankloom.llm.common import _all_pairs
 
 
 def brute(ids, m, k):
@@ -115,3 +116,25 @@ def test_copies_are_classes(spark, rows):
     g = nd.near_duplicate_groups(df, size=3, threshold=0.7)
     assert {(r["class_id"], r["group_id"], r["links"]) for r in g.collect()} == {("D000", "D000", 1), ("X", "D000", 1)}
     assert nd.near_duplicate_pairs(df.limit(0)).count() == 0
+
+
+def test_large_classes_are_written_in_full(spark, rows):
+    marks = [" ", ", ", " - ", "; "]
+    body = lambda i, w: "".join(x + marks[i // 4**k % 4] for k, x in enumerate(w.split()))
+    one = [(f"D{i:03d}", body(i, "a b c d e f")) for i in range(101)]  # different bodies of one set
+    near = [(f"E{i:03d}", body(i, "a b c d e f g")) for i in range(100)]
+    assert len({b for _, b in one + near}) == 201
+    df = spark.createDataFrame(one + near, "docid string, body string")
+    want = list(itertools.combinations([i for i, _ in one + near], 2))
+    assert rows(nd.near_duplicate_pairs(df, size=3, threshold=0.7)) == want
+    assert rows(nd.near_duplicate_pairs(df.where("docid < 'E'"), size=3, threshold=0.7)) == [x for x in want if x[1] < "E"]
+
+
+def test_blocks_lose_and_repeat_nothing(spark, rows):
+    n = 57
+    members = spark.createDataFrame([("ab"[i % 2], i) for i in range(n)] + [("c", n)], "class string, id int")
+    pairs = spark.createDataFrame([("a", "b"), ("a", "a"), ("b", "c")], "class_a string, class_b string")
+    want = {(i, j) for i, j in itertools.combinations(range(n + 1), 2) if (j < n and (i % 2 == 0 or j % 2 == 0)) or (j == n and i % 2)}
+    for block in (1, 5, 1000):
+        got = [tuple(r) for r in _all_pairs(pairs, members, block).collect()]
+        assert len(got) == len(want) and set(got) == want
