@@ -78,8 +78,8 @@ def grouped_split(
 
     Groups of more than 1/heavy_share of all rows (fewer than heavy_share of them) are placed first, on the driver; they
     alone can move a share. All others fall by hash of their key into cells of about cell_groups groups, and each cell is
-    stratified by itself, towards its part of what is still needed. Label columns of many values are hashed into
-    max_values. Shares that don't add up to 1 are scaled. An empty table gives an empty result."""
+    stratified by itself, towards its part of what is still needed. Label columns of more than max_values
+    distinct values are hashed into max_values, and values that meet there are spread alike only together. Shares that don't add up to 1 are scaled. An empty table gives an empty result."""
     spark = df.sparkSession
     shares = sorted(((r["split_name"], float(r["share"] or 0)) for r in plan.select("split_name", "share").distinct().limit(1000).collect()), key=lambda x: (-x[1], x[0]))
     names, share = [x[0] for x in shares], np.array([x[1] for x in shares])
@@ -87,7 +87,9 @@ def grouped_split(
     row_labels = df.select(F.col(row_id).alias("_r"), *[F.coalesce(F.col(c).cast("string"), F.lit("\0null")).alias(f"_l{i}") for i, c in enumerate(labels)])
     groups = cut(related_groups(df, row_id, **cols).select(F.col(row_id).alias("_r"), "group_key"))
     pair = row_labels.groupBy("_r").agg(*[F.min(f"_l{i}").alias(f"_l{i}") for i in range(len(labels))])
-    long = groups.join(pair, "_r").select("group_key", F.explode(F.array(F.lit("*"), *[F.concat(F.lit(f"{i}:"), F.when(F.col(f"_l{i}") == "\0null", "null").otherwise(F.concat(F.lit("="), F.pmod(F.xxhash64(f"_l{i}"), F.lit(max_values)).cast("string")))) for i in range(len(labels))])).alias("label"))
+    few = [pair.where(F.col(f"_l{i}") != "\0null").select(f"_l{i}").distinct().limit(max_values + 1).count() <= max_values for i in range(len(labels))]
+    value = lambda i: F.col(f"_l{i}") if few[i] else F.pmod(F.xxhash64(f"_l{i}"), F.lit(max_values)).cast("string")
+    long = groups.join(pair, "_r").select("group_key", F.explode(F.array(F.lit("*"), *[F.concat(F.lit(f"{i}:"), F.when(F.col(f"_l{i}") == "\0null", "null").otherwise(F.concat(F.lit("="), value(i)))) for i in range(len(labels))])).alias("label"))
     vec = cut(long.groupBy("group_key", "label").agg(F.count("*").alias("n")))
     totals = {r["label"]: r["n"] for r in vec.groupBy("label").agg(F.sum("n").alias("n")).collect()}
     rows = totals.get("*", 0)

@@ -90,6 +90,19 @@ def test_grouped_split(spark):
     assert splits.grouped_split(df.limit(0), plan).count() == 0
 
 
+def test_a_rare_label_is_not_lost_in_a_hash(spark):
+    names = spark.range(300).select(F.concat(F.lit("s"), "id").alias("s"))
+    meet = names.groupBy(F.pmod(F.xxhash64("s"), F.lit(64))).agg(F.sort_array(F.collect_list("s")).alias("s")).where(F.size("s") > 1).first()["s"]
+    rare, common = meet[:2]  # two values of one bucket
+    recs = [(i, None, 10_000 + i, "q", None, rare if i < 50 else common, None) for i in range(1000)]
+    df = spark.createDataFrame(recs, SCHEMA)
+    plan = spark.createDataFrame([("train", 0.8), ("val", 0.1), ("test", 0.1)], "split_name string, share double")
+    for limit, exact in ((64, True), (2, True), (1, False)):
+        got = {r[0]: r[1] for r in splits.grouped_split(df, plan, max_values=limit).collect()}
+        assert Counter(got.values()) == {"train": 800, "val": 100, "test": 100}
+        assert (Counter(got[i] for i in range(50)) == {"train": 40, "val": 5, "test": 5}) == exact
+
+
 def test_stratify_prefers_the_rare():
     counts = np.array([[2, 0, 2], [2, 1, 1], [2, 0, 2], [2, 1, 1]])
     need = np.array([0.5, 0.5])[:, None] * counts.sum(axis=0)[None, :]
