@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import atexit
+import re
 import shutil
 import tempfile
+import weakref
 from pathlib import Path
+from uuid import uuid4
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -27,19 +31,56 @@ def local_session(cores: int | str = 8, name: str = "rankloom", memory: str = "8
     return spark
 
 
-def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the checkpoint folder the session names; set one of our own only where it names none."""
+_folders: dict[str, str] = {}
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """This application's part of the checkpoint folder that the session names, in spark.checkpoint.dir or by
+    setCheckpointDir. A local session that names none gets a temporary one; any other must name one, as executors share it."""
     sc = spark.sparkContext
-    if sc._jsc.sc().getCheckpointDir().isDefined():
+    if sc.applicationId not in _folders:
+        given = sc._jsc.sc().getCheckpointDir()
+        named = spark.conf.get("spark.checkpoint.dir", None) or (given.get() if given.isDefined() else None)
+        if not named:
+            if not re.fullmatch(r"local(\[[^\]]*\])?", sc.master):
+                raise RuntimeError("name a folder that all executors share in spark.checkpoint.dir")
+            named = tempfile.mkdtemp(prefix="rankloom-checkpoint-")
+            atexit.register(shutil.rmtree, named, ignore_errors=True)
+        _folders[sc.applicationId] = f"{named.rstrip('/')}/rankloom-{sc.applicationId}"
+        atexit.register(_delete, spark, _folders[sc.applicationId])
+    return _folders[sc.applicationId]
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    if spark.sparkContext._jsc is None:
+        shutil.rmtree(path.removeprefix("file://"), ignore_errors=True)
         return
-    named = sc.getConf().get("spark.checkpoint.dir", None)
-    sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="rankloom-checkpoint-"))
+    try:
+        p = spark._jvm.org.apache.hadoop.fs.Path(path)
+        p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+    except Exception:  # noqa: BLE001, S110
+        pass  # the session is gone; the folder's owner clears it
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Write df to the shared checkpoint folder and go on from there, with its lineage cut."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Write df as a table in the shared folder and go on from there: its lineage is cut, it is computed once, and later
+    reads prune columns and row groups. The folder is deleted when the program ends, or by discard()."""
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/{uuid4().hex}"
+    df.write.parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    _tables[id(out)] = (weakref.ref(out), path)
+    return out
+
+
+_tables: dict[int, tuple[weakref.ref, str]] = {}
+
+
+def discard(table: DataFrame) -> None:
+    """Delete the files of a table that cut() gave and that nothing reads any more."""
+    ref, path = _tables.pop(id(table), (None, ""))
+    if ref is not None and ref() is table:
+        _delete(table.sparkSession, path)
 
 
 _shipped: set[str] = set()
