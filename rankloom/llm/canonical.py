@@ -11,7 +11,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rankloom.llm.common import cut, expand_classes
+from rankloom.llm.common import all_pairs, cut
 
 # Letters that look like Latin ones, each followed by the Latin letter.
 CYRILLIC = "АAВBЕEЅSІIЈJКKМMНHОOРPСCТTУYХXаaеeоoрpсcуyхxѕsіiјjһhԁdԛqԝwѵvԌGԚQԜWҮYӀI"
@@ -109,12 +109,11 @@ def canonical(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", fol
     return df.select(id_col, text_col).mapInPandas(run, f"`{id_col}` {kind}, form string")
 
 
-def same_looking_pairs(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", fold_case: bool = False, expand: int = 10_000) -> DataFrame:
+def same_looking_pairs(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", fold_case: bool = False) -> DataFrame:
     """(id_a, id_b), a < b: records whose texts differ but have one form. Null and blank texts have no partner.
 
     Only digests (128 bits) of form and text are shuffled, once each row; equal texts form a class, and the links between
-    the classes of a form become pairs of records, in full up to `expand` pairs a link, beyond it as every copy with the
-    other class's first record (see common.expand_classes)."""
+    the classes of a form become pairs of records, all of them, made in blocks (see common.all_pairs)."""
     kind = df.schema[id_col].dataType.simpleString()
 
     def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -136,4 +135,4 @@ def same_looking_pairs(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
     c = cut(classes.join(several, "form"))
     links = c.select("form", F.col("class").alias("class_a")).join(c.select("form", F.col("class").alias("class_b")), "form").where("class_a < class_b").select("class_a", "class_b")
     members = d.join(c.select("class"), "class", "left_semi").select("class", "id")
-    return expand_classes(links, members, expand)
+    return all_pairs(links, members)

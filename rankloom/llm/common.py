@@ -5,13 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rankloom.session import cut
+from rankloom.session import cut, discard
 
 WORD = r"[\p{L}\p{N}]+"
 #: What counts as white space around an id, also in Python's str.strip().
 SPACES = r"[\s\u001c-\u001f\u0085\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+"
 
-__all__ = ["SPACES", "WORD", "clean_id", "cut", "expand_classes", "one_per_key", "words"]
+__all__ = ["SPACES", "WORD", "all_pairs", "clean_id", "cut", "discard", "one_per_key", "sent", "spread", "words"]
 
 
 def words(text: Column) -> Column:
@@ -25,41 +25,36 @@ def clean_id(c: Column) -> Column:
     return F.when(s != "", s)
 
 
+def sent(table: DataFrame, rows: int = 500_000) -> DataFrame:
+    """The table, to be broadcast if it has so few rows, else left to the planner. It is counted, so give one that is written."""
+    return F.broadcast(table) if table.limit(rows + 1).count() <= rows else table
+
+
+def spread(df: DataFrame, *by: str) -> DataFrame:
+    """df over all cores where its files make fewer tasks than that; left alone, without a shuffle, where they make enough."""
+    tasks = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= tasks else df.repartition(tasks, *by)
+
+
 def one_per_key(df: DataFrame, key: str, *cols: str) -> DataFrame:
     """One row per non-null key; where rows of a key differ, the smallest of their values together counts.
 
-    One shuffle by the key, after which the result stays partitioned by it."""
+    Keys alone are shuffled to find those that come again, and only the latters' rows follow."""
+    x = df.where(F.col(key).isNotNull()).select(key, *cols)
+    again = sent(cut(x.groupBy(key).agg(F.count("*").alias("_n")).where("_n > 1").select(key)))
+    once = spread(x.join(again, key, "left_anti"), key)
     kept = F.min(F.struct(*[F.col(c) for c in cols])).alias("_kept")
-    return df.where(F.col(key).isNotNull()).groupBy(key).agg(kept).select(key, *[F.col("_kept")[c].alias(c) for c in cols])
+    several = x.join(again, key, "left_semi").groupBy(key).agg(kept).select(key, *[F.col("_kept")[c].alias(c) for c in cols])
+    return once.unionByName(several)
 
 
-def expand_classes(pairs: DataFrame, members: DataFrame, limit: int | None = None) -> DataFrame:
-    """Pairs of members (id_a < id_b) from linked classes.
+def all_pairs(pairs: DataFrame, members: DataFrame, block: int = 1000) -> DataFrame:
+    """(id_a, id_b), a < b: every pair of members of linked classes.
 
     pairs(class_a, class_b): linked classes, each link once, class_a = class_b for links inside a class;
-    members(class, id). Without a limit every pair of every link is written; an id must then be in one class only.
-    With one, links of up to `limit` member pairs are written out in full; beyond it each member is linked to the other
-    class's smallest member alone, and the other pairs are left out."""
-    if limit is None:
-        return _all_pairs(pairs, members)
-    sizes = members.groupBy("class").agg(F.count("*").alias("n"), F.min("id").alias("rep"))
-    p = (
-        pairs.join(sizes.select(F.col("class").alias("class_a"), F.col("n").alias("na"), F.col("rep").alias("ra")), "class_a")
-        .join(sizes.select(F.col("class").alias("class_b"), F.col("n").alias("nb"), F.col("rep").alias("rb")), "class_b")
-        .withColumn("full", F.col("na") * F.col("nb") <= limit)
-    )
-    a = members.select(F.col("class").alias("class_a"), F.col("id").alias("ia"))
-    b = members.select(F.col("class").alias("class_b"), F.col("id").alias("ib"))
-    full = p.where("full").join(a, "class_a").join(b, "class_b").select("ia", "ib")
-    large = p.where("not full")
-    star = large.join(a, "class_a").select("ia", F.col("rb").alias("ib")).unionByName(large.join(b, "class_b").select(F.col("ra").alias("ia"), "ib"))
-    out = full.unionByName(star).where(F.col("ia") != F.col("ib"))
-    return out.select(F.least("ia", "ib").alias("id_a"), F.greatest("ia", "ib").alias("id_b")).distinct()
-
-
-def _all_pairs(pairs: DataFrame, members: DataFrame, block: int = 1000) -> DataFrame:
-    """expand_classes in full. Classes are cut by hash of the id into blocks of about `block` members and links into
-    pairs of blocks, so what is shuffled are lists of ids, and the pairs of a large class are made in many tasks."""
+    members(class, id), an id being in one class only. Classes are cut by hash of the id into blocks of about `block`
+    members and links into pairs of blocks, so what is shuffled are lists of ids, and the pairs of a large class are made
+    in many tasks."""
     sizes = members.groupBy("class").agg(F.ceil(F.count("*") / block).alias("k"))
     lists = members.join(sizes, "class").groupBy("class", F.pmod(F.xxhash64("id"), F.col("k")).alias("block")).agg(F.collect_list("id").alias("ids"))
     side = lambda d, x: d.select(*[F.col(c).alias(f"{c}_{x}") for c in d.columns])

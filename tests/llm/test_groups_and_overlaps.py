@@ -9,7 +9,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from rankloom.llm import overlap, splits
-from rankloom.llm.common import clean_id, expand_classes, words
+from rankloom.llm.common import all_pairs, clean_id, one_per_key, words
 from rankloom.llm.components import connected_components
 
 SCHEMA = "row_index bigint, docid string, queryid bigint, query string, split string, source string, rel int"
@@ -180,9 +180,13 @@ def test_overlaps_against_brute_force(spark):
     assert overlap.overlaps(df.limit(0)).count() == 0
 
 
-def test_expand_classes(spark, rows):
+def test_all_pairs(spark, rows):
     members = spark.createDataFrame([("a", i) for i in range(4)] + [("b", 10), ("b", 11)], "class string, id int")
     pairs = spark.createDataFrame([("a", "b"), ("a", "a")], "class_a string, class_b string")
-    assert len(rows(expand_classes(pairs, members))) == 8 + 6
-    star = rows(expand_classes(pairs, members, limit=3))
-    assert star == [(0, 1), (0, 10), (0, 11), (0, 2), (0, 3), (1, 10), (2, 10), (3, 10)]
+    assert len(rows(all_pairs(pairs, members))) == 8 + 6
+
+
+def test_one_per_key(spark, rows):
+    df = spark.createDataFrame([("a", "x", "2"), ("a", "x", "1"), ("b", None, None), ("b", None, None), ("c", "y", None), (None, "z", "z")], "k string, t string, u string")
+    assert rows(one_per_key(df, "k", "t", "u")) == [("a", "x", "1"), ("b", None, None), ("c", "y", None)]
+    assert one_per_key(df.limit(0), "k", "t").count() == 0

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from rankloom.llm import nearduplicates as nd
 from rankloom.llm import neighbours as nb
-from rankloom.llm.common import _all_pairs
+from rankloom.llm.common import all_pairs
 
 
 def brute(ids, m, k):
@@ -111,11 +111,23 @@ def test_pairs_against_brute_force(spark, rows, size, threshold):
 
 def test_copies_are_classes(spark, rows):
     df = spark.createDataFrame([(f"D{i:03d}", "a b c d e f") for i in range(50)] + [("X", "a b c d e f g")], "docid string, body string")
-    p = nd.near_duplicate_pairs(df, size=3, threshold=0.7, expand=100)
-    assert p.count() == 49 + 50  # each copy with the first one, and each with the near one
+    assert nd.near_duplicate_pairs(df, size=3, threshold=0.7).count() == 51 * 50 // 2
     g = nd.near_duplicate_groups(df, size=3, threshold=0.7)
     assert {(r["class_id"], r["group_id"], r["links"]) for r in g.collect()} == {("D000", "D000", 1), ("X", "D000", 1)}
-    assert nd.near_duplicate_pairs(df.limit(0)).count() == 0
+    assert rows(nd.class_links(df, size=3, threshold=0.7)) == [("D000", "D000", 50, 50, 1.0), ("D000", "X", 50, 1, 0.8)]
+    assert nd.near_duplicate_pairs(df.limit(0)).count() == nd.class_links(df.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("share", [50_000, 40])
+def test_hot_elements_lose_nothing(spark, rows, monkeypatch, share):
+    """Boilerplate in all texts, some of which hold hardly anything else."""
+    monkeypatch.setattr(nd, "HOT_SHARE", share)
+    rng = random.Random(9)
+    plate = " ".join(f"p{i}" for i in range(30))
+    recs = [(f"D{i:03d}", f"{plate} " + " ".join(rng.choice("abcdefghij") for _ in range(rng.choice([1, 2, 5, 14])))) for i in range(120)]
+    s = shingle_sets(recs, 3)
+    want = sorted((a, b) for a, b in itertools.combinations(sorted(s), 2) if len(s[a] & s[b]) >= 0.8 * len(s[a] | s[b]) - 1e-9)
+    assert rows(nd.near_duplicate_pairs(spark.createDataFrame(recs, "docid string, body string"), size=3, threshold=0.8)) == want and want
 
 
 def test_large_classes_are_written_in_full(spark, rows):
@@ -136,5 +148,5 @@ def test_blocks_lose_and_repeat_nothing(spark, rows):
     pairs = spark.createDataFrame([("a", "b"), ("a", "a"), ("b", "c")], "class_a string, class_b string")
     want = {(i, j) for i, j in itertools.combinations(range(n + 1), 2) if (j < n and (i % 2 == 0 or j % 2 == 0)) or (j == n and i % 2)}
     for block in (1, 5, 1000):
-        got = [tuple(r) for r in _all_pairs(pairs, members, block).collect()]
+        got = [tuple(r) for r in all_pairs(pairs, members, block).collect()]
         assert len(got) == len(want) and set(got) == want
