@@ -11,22 +11,29 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rankloom.llm.common import all_pairs, cut
+from rankloom.llm.common import all_pairs, cut, sent, spread
 
 # Letters that look like Latin ones, each followed by the Latin letter.
-CYRILLIC = "АAВBЕEЅSІIЈJКKМMНHОOРPСCТTУYХXаaеeоoрpсcуyхxѕsіiјjһhԁdԛqԝwѵvԌGԚQԜWҮYӀI"
-GREEK = "ΑAΒBΕEΖZΗHΙIΚKΜMΝNΟOΡPΤTΥYΧXοoνvρpϲcϳjϹCͿJ"
-ARMENIAN_LATIN = "օoսuհhցgɑaɡgɩi"
+CYRILLIC = "АAВBЕEЅSІIЈJКKМMНHОOРPСCТTУYХXаaеeоoрpсcуyхxѕsіiјjһhԁdԛqԝwѵvԌGԚQԜWҮYӀIӏl"
+GREEK = "ΑAΒBΕEΖZΗHΙIΚKΜMΝNΟOΡPΤTΥYΧXαaιiοoνvρpυuϲcϳjϹCͿJ"
+ARMENIAN_LATIN = "օoսuհhցgոnզqՕOՍUɑaɡgɩi"
+CHEROKEE = "ᎠDᎡRᎢTᎥiᎪAᎫJᎬEᎳWᎷMᎻHᏀGᏃZᏏbᏒRᏔWᏕSᏙVᏚSᏞLᏟCᏢPᏦKᏴB"
+LISU = "ꓐBꓑPꓓDꓔTꓖGꓗKꓙJꓚCꓜZꓝFꓟMꓠNꓡLꓢSꓣRꓦVꓧHꓪWꓫXꓬYꓮAꓰEꓲIꓳOꓴU"
 # Hyphens that look like the ASCII one.
-HYPHENS = "\u2010\u2011\u2212\u2043\ufe63\uff0d"
-# The ranges of default-ignorable characters.
+HYPHENS = "\u02d7\u2010\u2011\u2012\u2043\u2212\ufe58\ufe63\uff0d"
+# A gap that is no white space.
+BLANKS = "\u2800"
+# The ranges of default-ignorable characters, and of others that show nothing.
 IGNORABLE = (
+    (0x0080, 0x0084), (0x0086, 0x009F), (0xFFF9, 0xFFFB),
     (0x00AD, 0x00AD), (0x034F, 0x034F), (0x061C, 0x061C), (0x115F, 0x1160), (0x17B4, 0x17B5), (0x180B, 0x180F), (0x200B, 0x200F), (0x202A, 0x202E), (0x2060, 0x206F),
     (0x3164, 0x3164), (0xFE00, 0xFE0F), (0xFEFF, 0xFEFF), (0xFFA0, 0xFFA0), (0xFFF0, 0xFFF8), (0x1BCA0, 0x1BCA3), (0x1D173, 0x1D17A), (0xE0000, 0xE0FFF),
 )
 #: Compatibility characters of these kinds don't look like what they stand for, so they stay.
 DISTINCT_KINDS = ("<super>", "<sub>", "<circle>", "<fraction>", "<square>")
-LINE_ENDS = re.compile("\r\n?|[\x0b\x0c\x85\u2028\u2029]")
+_HIDDEN = "".join(f"{chr(lo)}-{chr(hi)}" for lo, hi in IGNORABLE)
+#: A line end stays one if a character that shows nothing stands inside it.
+LINE_ENDS = re.compile(f"\r(?:[{_HIDDEN}]*\n)?|[\x0b\x0c\x85\u2028\u2029]")
 CONTROLS = re.compile("[\x00-\x09\x0b-\x1f\x7f\x85\u2028\u2029]")
 ASCII_CONTROLS = {c: None for c in (*range(32), 127) if c not in (9, 10)} | {9: " "}
 SEGMENT = re.compile("[!-~]?[^\x00-\x7f][^ \n]*")
@@ -39,9 +46,9 @@ def _tables(fold: bool) -> tuple[dict[int, str | None], dict[int, str]]:
     to: dict[int, str | None] = {}
     for lo, hi in IGNORABLE:
         to.update(dict.fromkeys(range(lo, hi + 1)))
-    for s in (CYRILLIC, GREEK, ARMENIAN_LATIN):
+    for s in (CYRILLIC, GREEK, ARMENIAN_LATIN, CHEROKEE, LISU):
         to.update({ord(a): b for a, b in zip(s[::2], s[1::2])})
-    to.update(dict.fromkeys(map(ord, HYPHENS), "-"))
+    to.update(dict.fromkeys(map(ord, HYPHENS), "-") | dict.fromkeys(map(ord, BLANKS), " "))
     back: dict[int, str] = {}
     for c in range(0x80, 0x20000):
         ch = chr(c)
@@ -106,7 +113,7 @@ def canonical(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", fol
             forms = [canonical_form(x, fold_case) for x in values]
             yield pd.DataFrame({id_col: pdf[id_col], "form": [forms[i] if i >= 0 else None for i in code]})
 
-    return df.select(id_col, text_col).mapInPandas(run, f"`{id_col}` {kind}, form string")
+    return spread(df.select(id_col, text_col)).mapInPandas(run, f"`{id_col}` {kind}, form string")
 
 
 def same_looking_pairs(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", fold_case: bool = False) -> DataFrame:
@@ -129,10 +136,10 @@ def same_looking_pairs(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
             out = pd.DataFrame({"id": pdf[id_col], "class": [cls[i] for i in code], "form": [of[i] for i in code]})
             yield out[out.form.notna()]
 
-    d = cut(df.where(F.col(id_col).isNotNull()).select(id_col, text_col).mapInPandas(run, f"id {kind}, class string, form string").distinct())
-    classes = d.select("form", "class").distinct()
-    several = classes.groupBy("form").agg(F.count("*").alias("n")).where("n > 1").select("form")
-    c = cut(classes.join(several, "form"))
-    links = c.select("form", F.col("class").alias("class_a")).join(c.select("form", F.col("class").alias("class_b")), "form").where("class_a < class_b").select("class_a", "class_b")
-    members = d.join(c.select("class"), "class", "left_semi").select("class", "id")
-    return all_pairs(links, members)
+    d = cut(spread(df.where(F.col(id_col).isNotNull()).select(id_col, text_col)).mapInPandas(run, f"id {kind}, class string, form string"))
+    # forms of one text alone, nearly all, go no further
+    several = sent(cut(d.groupBy("form").agg(F.min("class").alias("lo"), F.max("class").alias("hi")).where("lo != hi").select("form")))
+    c = cut(d.join(several, "form", "left_semi").distinct())
+    classes = c.select("form", "class").distinct()
+    links = classes.select("form", F.col("class").alias("class_a")).join(classes.select("form", F.col("class").alias("class_b")), "form").where("class_a < class_b").select("class_a", "class_b")
+    return all_pairs(links, c.select("class", "id"))

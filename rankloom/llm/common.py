@@ -52,7 +52,7 @@ def all_pairs(pairs: DataFrame, members: DataFrame, block: int = 1000) -> DataFr
     """(id_a, id_b), a < b: every pair of members of linked classes.
 
     pairs(class_a, class_b): linked classes, each link once, class_a = class_b for links inside a class;
-    members(class, id), an id being in one class only. Classes are cut by hash of the id into blocks of about `block`
+    members(class, id); an id in several classes may come in a pair twice. Classes are cut by hash of the id into blocks of about `block`
     members and links into pairs of blocks, so what is shuffled are lists of ids, and the pairs of a large class are made
     in many tasks."""
     sizes = members.groupBy("class").agg(F.ceil(F.count("*") / block).alias("k"))
@@ -66,4 +66,4 @@ def all_pairs(pairs: DataFrame, members: DataFrame, block: int = 1000) -> DataFr
     links = links.repartition(int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions")), "class_a", "block_a", "class_b", "block_b")
     same = (F.col("class_a") == F.col("class_b")) & (F.col("block_a") == F.col("block_b"))
     out = links.select(same.alias("same"), F.explode("ids_a").alias("ia"), "ids_b").select("same", "ia", F.explode("ids_b").alias("ib")).where("not same or ia < ib")
-    return out.select(F.least("ia", "ib").alias("id_a"), F.greatest("ia", "ib").alias("id_b"))
+    return out.where("ia != ib").select(F.least("ia", "ib").alias("id_a"), F.greatest("ia", "ib").alias("id_b"))

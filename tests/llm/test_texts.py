@@ -101,6 +101,7 @@ def test_pack_texts(spark):
 SAME = [
     ("ｆｕｌｌ　ｗｉｄｔｈ１２", "full width12"), ("été", "été"), ("ﬁ ﬂ", "fi fl"), ("pаypаl", "paypal"), ("a b c　d\te", "a b c d e"), ("zero​width﻿­", "zerowidth"),
     ("non‑breaking", "non-breaking"), ("K", "K"), ("line\r\nend\rx", "line\nend\nx"), ("ϲοѕһ", "cosh"), ("ё ё", "ё ё"), ("が", "が"), ("Ι e​́", "I é"),
+    ("a\r\u200b\nb", "a\nb"), ("a\u0081b\ufff9", "ab"), ("a\u2800b", "a b"), ("1\u20122", "1-2"), ("υ ӏ ո", "u l n"), ("ᎠꓐꓟᏚ", "DBMS"),
 ]
 DIFFERENT = [("a", "A"), ("é", "e"), ("x²", "x2"), ("½", "1/2"), ("a  b", "a b"), ("a\n\nb", "a\nb"), ("①", "1"), ("1", "l"), ("a b", "ab")]
 
@@ -126,6 +127,12 @@ def test_stable_and_piecewise(s):
     assert ca.canonical_form(once) == once
 
 
+def test_large_groups_give_all_pairs(spark):
+    df = spark.range(210).select(F.col("id").alias("doc_id"), F.when(F.col("id") < 110, "same").otherwise("ｓame").alias("text"))
+    p = ca.same_looking_pairs(df).collect()
+    assert len({tuple(r) for r in p}) == len(p) == 110 * 100 and all(a < 110 <= b for a, b in p)
+
+
 def test_pairs_and_forms(spark, rows):
     recs = [(1, "full"), (2, "ｆull"), (3, "full"), (4, None), (5, ""), (6, "​ "), (7, " "), (8, "Full"), (2, "ｆull"), (9, "x" * 100_000 + "ｙ"), (10, "x" * 100_000 + "y"), (None, "fuｌl")]
     df = spark.createDataFrame(recs, "doc_id bigint, text string").withColumn("class", F.lit(0)).withColumn("form", F.lit(0))
