@@ -65,13 +65,37 @@ def test_unusable_vectors(spark):
 
 def test_windows_are_the_counts_of_near_projections():
     rng = np.random.default_rng(4)
-    a = nb.Arrays(rng.normal(size=(30, 8)).astype("f4"), 5)
-    q = rng.normal(size=(7, 8)).astype("f4")
-    half = np.full(7, 0.5)
-    centres = np.empty((30, 5), "f4")
-    np.put_along_axis(centres, a.order, a.sorted, axis=0)
-    want = (np.abs((q @ a.axes)[None] - centres[:, None]) <= 0.5).sum(axis=2)
-    assert (a.collisions(q, half) == want).all()
+    v, q = rng.normal(size=(150, 8)).astype("f4"), rng.normal(size=(7, 8)).astype("f4")
+    d = nb.axes(8, 12)
+    half = np.linspace(0.1, 1.5, 7)
+    p, at = q @ d, v @ d
+    rank = np.argsort(np.argsort(at, axis=0), axis=0)
+    lo = (at[None] < p[:, None] - half[:, None, None]).sum(axis=1) // nb.STEP * nb.STEP
+    hi = -(-(at[None] <= p[:, None] + half[:, None, None]).sum(axis=1) // nb.STEP) * nb.STEP
+    count = ((rank[None] >= lo[:, None]) & (rank[None] < hi[:, None])).sum(axis=2)
+    a = nb.Arrays(v, d)
+    for least in (1, 5, 9, 12):
+        got = np.concatenate([h for _, h in a.collisions(p, half, least, block=3)])
+        assert (got == (count >= least)).all()
+
+
+def test_axes_stand_at_right_angles():
+    d = nb.axes(16, 24).astype("f8")
+    assert np.allclose(d[:, :16].T @ d[:, :16], np.eye(16), atol=1e-6) and np.allclose((d**2).sum(axis=0), 1, atol=1e-6)
+
+
+def test_verified_share_falls(spark):
+    """Clusters of fixed size: the larger the table, the smaller the share of pairs that are verified."""
+    share = []
+    for groups in (10, 60):
+        rng = np.random.default_rng(8)
+        m = (rng.normal(size=(groups, 1, 64)) + rng.normal(size=(groups, 40, 64)) * 0.2).reshape(-1, 64)
+        n, tally = len(m), spark.sparkContext.accumulator(0)
+        mine = nb.nearest(table(spark, np.arange(n), m), cell_rows=40, tally=tally).toPandas().groupby("vec_id").neighbour.apply(set)
+        want = brute(np.arange(n), m.astype("f4"), 10)
+        assert np.mean([len(want[i] & mine[i]) / 10 for i in range(n)]) > 0.97
+        share.append(tally.value / n**2)
+    assert share[1] < share[0] / 2
 
 
 # --- near-duplicates ---------------------------------------------------------------------------------------------------
