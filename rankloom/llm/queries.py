@@ -36,6 +36,10 @@ def _p3_found(s: SparkSession, d: str) -> DataFrame:
     return o.select(F.least("train_row", "held_row").alias("row_index_a"), F.greatest("train_row", "held_row").alias("row_index_b"))
 
 
+def _p3_classes(s: SparkSession, d: str) -> DataFrame:
+    return overlap.overlap_classes(_t(s, d, "train_with_negatives"))
+
+
 def _p3_counts(s: SparkSession, d: str) -> DataFrame:
     return overlap.overlap_counts(_t(s, d, "train_with_negatives"))
 
@@ -79,6 +83,10 @@ def _p7_groups(s: SparkSession, d: str) -> DataFrame:
     return nearduplicates.near_duplicate_groups(_t(s, d, "msmarco_docs"), size=3, threshold=0.7).withColumnRenamed("id", "docid")
 
 
+def _p7_classes(s: SparkSession, d: str) -> DataFrame:
+    return nearduplicates.class_links(_t(s, d, "msmarco_docs"), size=3, threshold=0.7)
+
+
 def _p8_ids(s: SparkSession, d: str) -> DataFrame:
     return encoding.encode(_t(s, d, "documents"))
 
@@ -102,6 +110,7 @@ def queries() -> dict[str, Query]:
         "p1_splits": _p1_splits,
         "p2_order": _p2_order,
         "p3_found": _p3_found,
+        "p3_classes": _p3_classes,
         "p3_counts": _p3_counts,
         "p4_found": _p4_found,
         "p4_scores": _p4_scores,
@@ -111,6 +120,7 @@ def queries() -> dict[str, Query]:
         "p6_nearest": _p6_nearest,
         "p7_found": _p7_found,
         "p7_groups": _p7_groups,
+        "p7_classes": _p7_classes,
         "p8_ids": _p8_ids,
         "p9_containers": _p9_containers,
         "p10_found": _p10_found,

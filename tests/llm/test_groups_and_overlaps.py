@@ -141,13 +141,31 @@ def test_the_bounds_lose_nothing(a, changes):
     b = " ".join(b.split())
     if not near(a, b):
         return
-    pa, pb = overlap._pairs_of(a), overlap._pairs_of(b)
-    cosine = len(set(pa) & set(pb)) / (len(pa) * len(pb)) ** 0.5
-    assert cosine >= overlap.least_cosine(len(a), len(b)) - 1e-9
+    known, weight = WEIGHTS
+    v = overlap.vectors([a, b], known, weight)
+    ta, tb = (set(t.tolist()) for t in v.terms)
+    k = overlap.edits(max(len(a), len(b)))
+    dot = sum(t >> overlap.WEIGHT_BITS for t in ta & tb)
+    assert [len(ta), len(tb)] == [len(a) + 1, len(b) + 1] and [sum(t >> overlap.WEIGHT_BITS for t in s) for s in (ta, tb)] == v.w.tolist()
+    assert all(dot >= w - lost[k] for w, lost in zip(v.w, v.lost))
     assert abs(len(a) - len(b)) <= overlap.MAX_EDITS and len(b) in overlap.partner_lengths(len(a))
-    first = lambda p: set(sorted(p)[: overlap.prefix_length(len(p) - 1)])
-    assert first(pa) & first(pb)
-    assert len(set(pa) ^ set(pb)) <= 4 * overlap.edits(max(len(a), len(b)))
+    both = set(v.prefix[0].tolist()) & set(v.prefix[1].tolist())
+    bound = lambda t: (t >> overlap.WEIGHT_BITS) + min(v.rest[i][v.prefix[i].tolist().index(t)] for i in (0, 1))
+    assert both and any(bound(t) >= dot for t in both)
+    for m in ("m1", "m2"):
+        assert bin((int(v[m][0]) ^ int(v[m][1])) & (2**64 - 1)).count("1") <= 4 * k
+
+
+#: idf of the pairs of the letters above: very unequal, one pair unknown
+_CODES = sorted((ord(p) << 21) | ord(q) for p in "abc " for q in "abc " if p + q != "cb")
+WEIGHTS = (np.array(_CODES), np.array([1 + 61 * (i * 7 % 15) for i in range(len(_CODES))]))
+
+
+def test_terms_of_a_vector_weigh_unequally():
+    v = overlap.vectors(["abab cb", "x"], *WEIGHTS)
+    w = [t >> overlap.WEIGHT_BITS for t in v.terms[0].tolist()]
+    assert w == sorted(w, reverse=True) and len(set(w)) > 3 and len(v.terms[1]) == 2
+    assert v.prefix[0].tolist() == v.terms[0].tolist()[: 2 * overlap.edits(8) + 1]
 
 
 def test_overlaps_against_brute_force(spark):
@@ -177,6 +195,10 @@ def test_overlaps_against_brute_force(spark):
     assert {(r[0], r[1]) for r in got} == want and len(got) == len(want)
     counts = overlap.overlap_counts(df).collect()
     assert sum(r["pairs"] for r in counts) == len(want)
+    classes = overlap.overlap_classes(df).collect()
+    by = lambda kind: sum(r["train_records"] * r["held_records"] for r in classes if r["kind"] == kind)
+    assert max(by("id"), by("text") + by("near")) <= len(want) <= by("id") + by("text") + by("near") and len({(r[0], r[1], r[2], r[3]) for r in classes}) == len(classes)
+    assert overlap.overlap_classes(df.limit(0)).count() == 0
     assert overlap.overlaps(df.limit(0)).count() == 0
 
 
