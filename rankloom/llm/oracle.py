@@ -66,11 +66,11 @@ def _order() -> str:
     cuts = ", ".join(f"quantile_disc({c}, 0.05) AS a{i}, quantile_disc({c}, 0.95) AS b{i}" for i, c in enumerate(cols))
     bounded = ", ".join(f"CASE WHEN {c} IS NOT NULL THEN least(greatest({c}, a{i}), b{i}) END AS x{i}" for i, c in enumerate(cols))
     stats = ", ".join(f"nullif(sqrt(avg(x{i} * x{i})), 0) AS n{i}, {'max' if _ORDER_COLS[c] > 0 else 'min'}(x{i}) AS h{i}, {'min' if _ORDER_COLS[c] > 0 else 'max'}(x{i}) AS l{i}" for i, c in enumerate(cols))
-    part = lambda i, to: f"coalesce(pow((x{i} / n{i} - {to}{i} / n{i}) / nullif(abs(h{i} / n{i} - l{i} / n{i}), 0), 2), 0.25)"
-    far = lambda to: "sqrt(" + " + ".join(part(i, to) for i in range(len(cols))) + ")"
+    far = lambda to: "sqrt(" + " + ".join(f"coalesce((x{i} / n{i} - {to}{i} / n{i}) ** 2, ((h{i} - l{i}) / n{i} / 2) ** 2, 0)" for i in range(len(cols))) + ")"
+    near = f"coalesce({far('l')} / nullif({far('h')} + {far('l')}, 0), 0.5)"
     return f"""WITH x AS (SELECT queryid, row_index, coalesce(source, '') AS u, {finite} FROM train_with_negatives),
 c AS (SELECT u, {cuts} FROM x GROUP BY 1), w AS (SELECT queryid, row_index, u, {bounded} FROM x JOIN c USING (u)), s AS (SELECT u, {stats} FROM w GROUP BY 1)
-SELECT queryid, row_index, row_number() OVER (PARTITION BY queryid ORDER BY round({far("l")} / ({far("h")} + {far("l")}), 9) DESC, row_index) AS place
+SELECT queryid, row_index, row_number() OVER (PARTITION BY queryid ORDER BY round({near}, 9) DESC, row_index) AS place
 FROM w JOIN s USING (u) WHERE queryid IS NOT NULL"""
 
 

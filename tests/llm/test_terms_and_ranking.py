@@ -1,6 +1,7 @@
 import math
 from collections import Counter
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -61,3 +62,26 @@ def test_scale_of_a_source_does_not_matter(spark):
     scaled = [(q, i, a * (1000 if src == "y" else 1), b * 0.01, src) for q, i, a, b, src in recs]
     assert rank(recs) == rank(scaled)
     assert fusion.ideal_point_ranking(spark.createDataFrame([], s), {"a": 1}).count() == 0
+
+
+def brute_order(recs, signs, norm=True):
+    """Closeness from the definition, in NumPy, over one unit without tails."""
+    x = np.array(recs, float)
+    v = x / (np.sqrt((x**2).mean(axis=0)) if norm else np.ptp(x, axis=0))
+    best = np.where(np.array(signs) > 0, v.max(axis=0), v.min(axis=0))
+    worst = np.where(np.array(signs) > 0, v.min(axis=0), v.max(axis=0))
+    plus, minus = (np.sqrt(((v - p) ** 2).sum(axis=1)) for p in (best, worst))
+    return minus / (plus + minus)
+
+
+def test_the_norm_counts(spark):
+    """A score that hardly varies for its size counts less than one that does; scaled to its range, it would count alike."""
+    rng = np.random.default_rng(3)
+    x = np.c_[rng.uniform(100, 104, 60), rng.normal(0, 7, 60), rng.exponential(2, 60)]
+    df = spark.createDataFrame([(1, i, *map(float, r)) for i, r in enumerate(x)], "queryid int, row_index int, a double, b double, c double")
+    got = {r["row_index"]: (r["place"], r["closeness"]) for r in fusion.ideal_point_ranking(df, {"a": 1, "b": 1, "c": -1}, unit=None, tail=0.0).collect()}
+    want = brute_order(x, (1, 1, -1))
+    assert [got[i][1] for i in range(60)] == pytest.approx(want.tolist(), abs=1e-8)
+    order = lambda c: np.argsort(np.argsort(-c)) + 1
+    places = np.array([got[i][0] for i in range(60)])
+    assert (places == order(want)).all() and (places != order(brute_order(x, (1, 1, -1), norm=False))).sum() > 10
