@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from rankloom.llm.common import all_pairs, cut, one_per_key, sent, words
 from rankloom.llm.components import connected_components
 
-HOT_SHARE = 50_000  # elements that hold more than one in so many of all entries are hot: fewer than that many
+HOT_SHARE = 200_000  # elements that hold more than one in so many of all entries are hot: fewer than that many
 
 
 def shingles(text: Column, size: int) -> tuple[Column, Column]:
@@ -47,7 +47,7 @@ def _prefixes(sets: DataFrame, threshold: float, extra: int) -> DataFrame:
     postings = sets.select("class", "n", F.explode("set").alias("e"))
     counts = cut(postings.groupBy("e").agg(F.count("*").alias("f")).where("f > 1"))
     total = counts.agg(F.sum("f")).first()[0] or 0
-    limit = max(64, total // HOT_SHARE)
+    limit = max(32, total // HOT_SHARE)
     hot = F.broadcast(counts.where(F.col("f") > limit))  # fewer than HOT_SHARE rows
     rare = postings.select("class", "e").join(hot.select("e"), "e", "left_anti").join(counts.where(F.col("f") <= limit), "e")
     rare = rare.groupBy("class").agg(F.sort_array(F.collect_list(F.struct("f", "e"))).alias("rare"))
