@@ -13,7 +13,10 @@ from pathlib import Path
 import numpy as np
 import pandas as pd
 import regex
-from pyspark.sql import DataFrame
+from pyspark import SparkFiles
+from pyspark.sql import DataFrame, SparkSession
+
+from rankloom.llm.common import spread
 
 TOKENIZERS = "/opt/tokenizers"
 
@@ -126,6 +129,18 @@ def tokenizer(path: str) -> ByteBpe:
     return _loaded[path]
 
 
+_sent: set[tuple[str, str]] = set()
+
+
+def _send(spark: SparkSession, path: str) -> str:
+    """Send the rank file to all executors, once a session; gives the name that they know it by."""
+    key = (spark.sparkContext.applicationId, path)
+    if key not in _sent:
+        spark.sparkContext.addFile(path)
+        _sent.add(key)
+    return Path(path).name
+
+
 def _batches(pdf: pd.DataFrame, chars: int = 4_000_000) -> Iterator[pd.DataFrame]:
     """Parts of at most so many characters, or of one text, so that very long texts don't pile up."""
     size = pdf.iloc[:, 1].str.len().fillna(0).cumsum().to_numpy()
@@ -140,28 +155,28 @@ def _mapped(df: DataFrame, id_col: str, text_col: str, schema: str, make: Callab
             for part in _batches(pdf):
                 yield make(part)
 
-    return df.select(id_col, text_col).mapInPandas(run, schema)
+    return spread(df.select(id_col, text_col)).mapInPandas(run, schema)
 
 
 def encode(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str = f"{TOKENIZERS}/byte_bpe_50k.tiktoken") -> DataFrame:
     """(id, ids): the token ids of every text without special tokens; strings that look like special tokens are text.
 
     Null and empty texts give an empty list. One row for each row of the input, repeated rows and null ids too; other
-    columns are ignored. No shuffle: each partition encodes its distinct words once. `path` names the rank file, which
-    every executor must see."""
-    kind = df.schema[id_col].dataType.simpleString()
+    columns are ignored. No shuffle: each partition encodes its distinct words once. `path` names the rank file where the
+    driver sees it; it is sent to the executors."""
+    kind, name = df.schema[id_col].dataType.simpleString(), _send(df.sparkSession, path)
 
     def make(p: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame({id_col: p[id_col], "ids": [np.array(x, "int32") for x in tokenizer(path).encode_batch(p[text_col])]})
+        return pd.DataFrame({id_col: p[id_col], "ids": [np.array(x, "int32") for x in tokenizer(SparkFiles.get(name)).encode_batch(p[text_col])]})
 
     return _mapped(df, id_col, text_col, f"`{id_col}` {kind}, ids array<int>", make)
 
 
 def token_counts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str = f"{TOKENIZERS}/byte_bpe_50k.tiktoken") -> DataFrame:
     """(id, n_tokens): as encode(), but only the number of ids."""
-    kind = df.schema[id_col].dataType.simpleString()
+    kind, name = df.schema[id_col].dataType.simpleString(), _send(df.sparkSession, path)
 
     def make(p: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame({id_col: p[id_col], "n_tokens": np.fromiter(tokenizer(path).count_batch(p[text_col]), "int64", len(p))})
+        return pd.DataFrame({id_col: p[id_col], "n_tokens": np.fromiter(tokenizer(SparkFiles.get(name)).count_batch(p[text_col]), "int64", len(p))})
 
     return _mapped(df, id_col, text_col, f"`{id_col}` {kind}, n_tokens bigint", make)
