@@ -42,13 +42,13 @@ def pack(items: DataFrame, capacity: int, id_col: str = "doc_id", size_col: str
     """(container, place, id, token_start, token_end): items put into containers of `capacity`, first-fit decreasing.
 
     An item above the capacity is cut into full containers and a rest; no other is cut. Items fall into random groups of
-    about group_items by a hash of id and size, and each group is packed by itself, so no task holds all; the containers
+    about group_items by a hash of id, size and place in the input, so repeated and null ids spread, and each group is packed by itself, so no task holds all; the containers
     of a group that stay part empty are few beside the thousands it fills. Container numbers are unique over groups;
     place counts from 0 in the order of falling size. Items of null, zero or negative size have no place; items of equal
     size go by id; repeated rows are items of their own; an empty table gives an empty result."""
     kind = items.schema[id_col].dataType.simpleString()
     spark = items.sparkSession
-    x = cut(items.where(F.col(size_col) > 0).select(F.col(id_col).alias("id"), F.col(size_col).cast("bigint").alias("n")))
+    x = cut(items.where(F.col(size_col) > 0).select(F.col(id_col).alias("id"), F.col(size_col).cast("bigint").alias("n"), F.monotonically_increasing_id().alias("r")))
     schema = f"container bigint, place int, `{id_col}` {kind}, token_start bigint, token_end bigint"
     total = x.count()
     if not total:
@@ -73,7 +73,7 @@ def pack(items: DataFrame, capacity: int, id_col: str = "doc_id", size_col: str
         out["place"] = out.groupby("container", sort=False).cumcount().astype("int32")
         return out[["container", "place", id_col, "token_start", "token_end"]]
 
-    g = F.pmod(F.xxhash64(F.lit(seed), "id", "n"), F.lit(groups))
+    g = F.pmod(F.xxhash64(F.lit(seed), "id", "n", "r"), F.lit(groups))
     return x.withColumn("g", g).groupBy("g").applyInPandas(run, schema)
 
 
