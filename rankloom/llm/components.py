@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
-from rankloom.llm.common import cut
+from rankloom.llm.common import cut, discard
 
 
 def _large_star(e: DataFrame) -> DataFrame:
@@ -20,23 +20,29 @@ def _small_star(e: DataFrame) -> DataFrame:
     return e.join(m, "u").where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(m.select("u", F.col("m").alias("v"))).distinct()
 
 
+def _written(e: DataFrame) -> tuple[DataFrame, tuple]:
+    """The links as a table, with their number and checksum, which are taken while it is written."""
+    seen = Observation()
+    sums = F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)")).alias("x")
+    out = cut(e.observe(seen, *sums))
+    return out, (seen.get["n"], seen.get["x"])
+
+
 def connected_components(edges: DataFrame, a: str, b: str, max_rounds: int = 60) -> DataFrame:
     """(node, component) for every node of an edge, component being the smallest node of it.
 
     The number of rounds grows with the logarithm of the longest path. Each round aggregates a node's least neighbour
-    with map-side combining, joins it back (a hub's rows are split by adaptive skew joins), and writes a checkpoint;
+    with map-side combining, joins it back (a hub's rows are split by adaptive skew joins), and writes its links;
     links and components never come to the driver, only a count and a checksum. Null ends and self-links add nothing;
     an empty input gives an empty result."""
     e = edges.select(F.col(a).alias("a"), F.col(b).alias("b")).where("a is not null and b is not null and a != b")
-    e = cut(e.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
-    mark = lambda d: d.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first()
-    before = mark(e)
+    e, before = _written(e.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
     for _ in range(max_rounds):
         if not before[0]:
             break
-        e = cut(_small_star(_large_star(e)))
-        now = mark(e)
-        if tuple(now) == tuple(before):
+        last, (e, now) = e, _written(_small_star(_large_star(e)))
+        discard(last)
+        if now == before:
             break
         before = now
     else:

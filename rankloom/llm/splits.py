@@ -36,29 +36,31 @@ def found_groups(df: DataFrame, row_id: str = "row_index", **cols: str) -> DataF
     return g.join(many, "group_key").select(row_id, "group_docid")
 
 
-def stratify(counts: np.ndarray, need: np.ndarray, order_key: np.ndarray | None = None) -> np.ndarray:
+def stratify(counts: np.ndarray, need: np.ndarray, outstanding: np.ndarray | None = None) -> np.ndarray:
     """Iterative stratification of groups: counts[g, l] rows of label l in group g, column 0 holding all rows;
     need[s, l] rows that split s still wants. Gives the split of each group and lowers `need` in place.
 
-    The label with the fewest rows outstanding goes first; its groups, largest first, go to the split that needs the
-    label most, then to the one that needs most rows, then to the first."""
+    The label with the fewest rows outstanding goes first, by `outstanding` where these groups are not all there are;
+    its groups, largest first, go to the split that needs the label most, then to the one that needs most rows, then to
+    the first."""
     n, labels = counts.shape
     out = np.full(n, -1)
-    left = counts.sum(axis=0).astype(float)
+    left = (counts.sum(axis=0) if outstanding is None else outstanding).astype(float)
     open_ = np.ones(n, bool)
-    tie = np.arange(n) if order_key is None else order_key
+    here = counts.sum(axis=0)
     while open_.any():
-        live = [x for x in range(1, labels) if left[x] > 0]
+        live = [x for x in range(1, labels) if here[x] > 0]
         lab = min(live, key=lambda x: (left[x], x)) if live else 0
         mine = np.flatnonzero(open_ & (counts[:, lab] > 0)) if live else np.flatnonzero(open_)
-        mine = mine[np.lexsort((tie[mine], -counts[mine, 0], -counts[mine, lab]))]
+        mine = mine[np.lexsort((mine, -counts[mine, 0], -counts[mine, lab]))]
         for g in mine:
             s = max(range(need.shape[0]), key=lambda x: (need[x, lab], need[x, 0], -x))
             out[g] = s
             need[s] -= counts[g]
         open_[mine] = False
-        left -= counts[mine].sum(axis=0)
-        left[lab] = 0
+        gone = counts[mine].sum(axis=0)
+        left, here = left - gone, here - gone
+        here[lab] = 0
     return out
 
 
@@ -76,9 +78,11 @@ def grouped_split(
     """(row_id, new_split): every group of related_groups in one split, in the shares of plan(split_name, share), with the
     values of the label columns (null is a value) spread alike.
 
-    Groups of more than 1/heavy_share of all rows (fewer than heavy_share of them) are placed first, on the driver; they
-    alone can move a share. All others fall by hash of their key into cells of about cell_groups groups, and each cell is
-    stratified by itself, towards its part of what is still needed. Label columns of more than max_values
+    Grouped iterative stratification: the label with the fewest rows outstanding in the whole collection goes first, and
+    its groups, largest first, to the split that needs it most. This is done twice over: once for the groups of more than
+    1/heavy_share of all rows (fewer than heavy_share of them), on the driver, as they alone can move a share; then for
+    all others, which fall by hash of their key into cells of about cell_groups groups, each cell being taken by itself
+    towards its part of what is still needed, in the same order of labels. Label columns of more than max_values
     distinct values are hashed into max_values, and values that meet there are spread alike only together. Shares that don't add up to 1 are scaled. An empty table gives an empty result."""
     spark = df.sparkSession
     shares = sorted(((r["split_name"], float(r["share"] or 0)) for r in plan.select("split_name", "share").distinct().limit(1000).collect()), key=lambda x: (-x[1], x[0]))
@@ -105,22 +109,19 @@ def grouped_split(
         keys = sorted(heavy.group_key.unique())
         m = np.zeros((len(keys), len(order)))
         m[heavy.group_key.map({k: i for i, k in enumerate(keys)}), heavy.label.map(col)] = heavy.n
-        # the largest first, whatever their labels: only then can the rest make up for them
-        for g in np.lexsort((np.arange(len(keys)), -m[:, 0])):
-            s = int(stratify(m[g : g + 1], need)[0])
-            placed.append((keys[g], names[s]))
+        placed = [(k, names[i]) for k, i in zip(keys, stratify(m, need, np.array([totals[x] for x in order])))]
     heavy_out = spark.createDataFrame(placed or [("", "")], "group_key string, split string").where("group_key != ''")
     light = vec.join(heavy_keys, "group_key", "left_anti")
     sums = {r["label"]: r["n"] for r in light.groupBy("label").agg(F.sum("n").alias("n")).collect()}
     n_light = light.where(F.col("label") == "*").count()
-    rest = np.array([max(1, sums.get(x, 0)) for x in order], float)
-    want = np.maximum(need, 0) / rest
+    outstanding = np.array([sums.get(x, 0) for x in order], float)
+    want = np.maximum(need, 0) / np.maximum(outstanding, 1)
 
     def cell(pdf: pd.DataFrame) -> pd.DataFrame:
         code, keys = pd.factorize(pdf.group_key, sort=True)
         m = np.zeros((len(keys), len(order)))
         m[code, pdf.label.map(col)] = pdf.n
-        s = stratify(m, want * m.sum(axis=0)[None, :])
+        s = stratify(m, want * m.sum(axis=0)[None, :], outstanding)
         return pd.DataFrame({"group_key": keys, "split": [names[i] for i in s]})
 
     cells = max(1, -(-n_light // cell_groups))
