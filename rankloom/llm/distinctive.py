@@ -5,8 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rankloom.llm.common import cut, words
-from rankloom.llm.vocabulary import record_terms
+from rankloom.llm.common import cut, one_per_key, words
 
 
 def divergence(tf: Column, length: Column, cf: Column, total: float, mu: float) -> Column:
@@ -16,15 +15,16 @@ def divergence(tf: Column, length: Column, cf: Column, total: float, mu: float)
     return pd * F.ln(pd / pc)
 
 
-def _with_stats(postings: DataFrame, stats: DataFrame, n_terms: int, broadcast_terms: int) -> DataFrame:
-    """postings joined to their terms' counts. Up to broadcast_terms terms the counts are broadcast, so postings stay
-    where they are. Beyond it both sides are shuffled by term, but for the terms that hold more than 1/512 of all
-    postings: there are fewer than 512 of those, so they are broadcast, and no task gets a hot term."""
-    if n_terms <= broadcast_terms:
+def _with_stats(postings: DataFrame, stats: DataFrame, broadcast_bytes: int) -> DataFrame:
+    """postings joined to their terms' counts. Counts of up to broadcast_bytes (terms and 40 bytes for each) are broadcast,
+    so postings stay where they are. Beyond it both sides are shuffled by term, but for the terms that hold more than 1/512
+    of all postings: there are fewer than 512 of those, so they are broadcast, and no task gets a hot term."""
+    size, total = stats.agg(F.sum(F.octet_length("term") + 40), F.sum("df")).first()
+    if (size or 0) <= broadcast_bytes:
         return postings.join(F.broadcast(stats), "term")
-    least = (stats.agg(F.sum("df")).first()[0] or 0) / 512
-    hot = stats.where(F.col("df") > least)
-    return postings.join(F.broadcast(hot), "term").unionByName(postings.join(F.broadcast(hot.select("term")), "term", "left_anti").join(stats.where(F.col("df") <= least), "term"))
+    hot = F.broadcast(stats.where(F.col("df") * 512 > total))
+    rest = postings.join(hot.select("term"), "term", "left_anti").join(stats.where(F.col("df") * 512 <= total), "term")
+    return postings.join(hot, "term").unionByName(rest)
 
 
 def term_scores(
@@ -34,7 +34,7 @@ def term_scores(
     others: tuple[tuple[str, DataFrame, str, str], ...] = (),
     min_df: int = 1,
     mu: float = 500.0,
-    broadcast_terms: int = 1_000_000,
+    broadcast_bytes: int = 64_000_000,
 ) -> DataFrame:
     """(field, record_key, term, tf, df, score) for every word of every record.
 
@@ -43,32 +43,36 @@ def term_scores(
     contribution to the divergence of the record's smoothed distribution from the collection's. Words in fewer than
     min_df records of the collection, so all that it doesn't hold, get no row. Null, empty and wordless texts have no
     rows; rows that are repeated in another table give their rows again; clashing column names are ignored; an empty
-    collection gives an empty result. Very long texts are read whole."""
-    terms = record_terms(collection.select(F.col(key).cast("string").alias("record_key"), F.col(text).alias("_t")), "record_key", ["_t"])
-    stats = cut(terms.groupBy("term").agg(F.sum("tf").alias("cf"), F.count("*").alias("df")))
-    size = stats.agg(F.sum("cf"), F.count("*")).first()
-    total, n_terms = float(size[0] or 1), int(size[1])
+    collection gives an empty result. Very long texts are read whole.
+
+    The collection's texts are split into words once: the counts of each record are written, one row a record, and both
+    the collection's counts and the scores come from them."""
+    own = one_per_key(collection.select(F.col(key).cast("string").alias("record_key"), F.col(text).alias("_t")), "record_key", "_t")
+    own = _exploded(cut(_counted(own)))
+    stats = cut(own.groupBy("term").agg(F.sum("tf").alias("cf"), F.count("*").alias("df")))
+    total = float(stats.agg(F.sum("cf")).first()[0] or 1)
     known = stats.where(F.col("df") >= min_df)
 
     def scored(field: str, p: DataFrame) -> DataFrame:
         """p(record_key, length, term, tf)"""
         s = divergence(F.col("tf").cast("double"), F.col("length").cast("double"), F.col("cf").cast("double"), total, mu)
-        return _with_stats(p, known, n_terms, broadcast_terms).select(F.lit(field).alias("field"), "record_key", "term", "tf", "df", s.alias("score"))
+        return _with_stats(p, known, broadcast_bytes).select(F.lit(field).alias("field"), "record_key", "term", "tf", "df", s.alias("score"))
 
-    own = _counted(collection.select(F.col(key).cast("string").alias("record_key"), F.col(text).alias("_t")), True)
     out = scored(text, own)
     for field, df, k, t in others:
-        out = out.unionByName(scored(field, _counted(df.select(F.col(k).cast("string").alias("record_key"), F.col(t).alias("_t")), False)))
+        out = out.unionByName(scored(field, _exploded(_counted(df.select(F.col(k).cast("string").alias("record_key"), F.col(t).alias("_t"))))))
     return out
 
 
-def _counted(df: DataFrame, by_key: bool) -> DataFrame:
-    """(record_key, length, term, tf), counted inside the row: equal words stand together once sorted, so a word's count
-    is the distance between two starts. Nothing is shuffled but, for by_key, the texts by their key."""
-    if by_key:
-        df = df.where("record_key is not null").groupBy("record_key").agg(F.min("_t").alias("_t"))
-    w = df.select("record_key", F.array_sort(words(F.col("_t"))).alias("_w")).where(F.size("_w") > 0)
+def _counted(df: DataFrame) -> DataFrame:
+    """(record_key, length, terms array<struct<term, tf>>), counted inside the row: equal words stand together once sorted,
+    so a word's count is the distance between two starts. Nothing is shuffled."""
+    w = df.select("record_key", F.sort_array(words(F.col("_t"))).alias("_w")).where(F.size("_w") > 0)
     starts = F.filter(F.sequence(F.lit(0), F.size("_w") - 1), lambda i: (i == 0) | (F.col("_w")[i] != F.get(F.col("_w"), i - 1)))
     w = w.select("record_key", "_w", F.size("_w").alias("length"), starts.alias("_s"))
     runs = F.transform("_s", lambda s, k: F.struct(F.get(F.col("_w"), s).alias("term"), (F.coalesce(F.get(F.col("_s"), k + 1), F.col("length")) - s).cast("bigint").alias("tf")))
-    return w.select("record_key", "length", F.explode(runs).alias("_x")).select("record_key", "length", "_x.term", "_x.tf")
+    return w.select("record_key", "length", runs.alias("terms"))
+
+
+def _exploded(counted: DataFrame) -> DataFrame:
+    return counted.select("record_key", "length", F.explode("terms").alias("_x")).select("record_key", "length", "_x.term", "_x.tf")

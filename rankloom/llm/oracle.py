@@ -74,6 +74,13 @@ SELECT queryid, row_index, row_number() OVER (PARTITION BY queryid ORDER BY roun
 FROM w JOIN s USING (u) WHERE queryid IS NOT NULL"""
 
 
+_SCORES = f"""WITH {_COLLECTION},
+a AS (SELECT 'body' AS field, record_key, term, tf, sum(tf) OVER (PARTITION BY record_key) AS len FROM bt
+  UNION ALL SELECT 'query', record_key, term, tf, sum(tf) OVER (PARTITION BY record_key) FROM (SELECT record_key, term, count(*) AS tf FROM qt GROUP BY ALL)),
+p AS (SELECT field, record_key, term, df, cf / total AS pc, (tf + 500.0 * (cf / total)) / (len + 500.0) AS pd FROM a JOIN s USING (term), n)
+SELECT field, record_key, term, round(pd * ln(pd / pc), 6) + 0.0 AS score FROM p"""
+
+
 def oracle_sql() -> dict[str, str]:
     return {
         "p1_found": _GROUPS,
@@ -81,11 +88,8 @@ def oracle_sql() -> dict[str, str]:
         "p3_found": _P3 + "SELECT DISTINCT least(tr, hr) AS row_index_a, greatest(tr, hr) AS row_index_b FROM o",
         "p3_counts": _P3 + "SELECT split, source, count(DISTINCT hr) AS records, count(DISTINCT (tr, hr)) AS pairs FROM o GROUP BY 1, 2",
         "p4_found": f"WITH {_COLLECTION} SELECT 'body' AS field, record_key, term FROM bt JOIN s USING (term) WHERE tf >= 3 AND df <= 3 UNION SELECT 'query', record_key, term FROM qt JOIN s USING (term) WHERE df <= 3",
-        "p4_scores": f"""WITH {_COLLECTION},
-a AS (SELECT 'body' AS field, record_key, term, tf, sum(tf) OVER (PARTITION BY record_key) AS len FROM bt
-  UNION ALL SELECT 'query', record_key, term, tf, sum(tf) OVER (PARTITION BY record_key) FROM (SELECT record_key, term, count(*) AS tf FROM qt GROUP BY ALL)),
-p AS (SELECT field, record_key, term, cf / total AS pc, (tf + 500.0 * (cf / total)) / (len + 500.0) AS pd FROM a JOIN s USING (term), n)
-SELECT field, record_key, term, round(pd * ln(pd / pc), 6) AS score FROM p""",
+        "p4_scores": _SCORES,
+        "p4_shared": f"{_SCORES} WHERE df >= 3",
         "p5_found": f"SELECT term, mark FROM ({_VOCABULARY}) WHERE mark <> 'kept'",
         "p5_terms": _VOCABULARY,
         "p6_found": _NEAREST + "SELECT DISTINCT least(vec_id, neighbour) AS vec_id_a, greatest(vec_id, neighbour) AS vec_id_b FROM k",

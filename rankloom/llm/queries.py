@@ -44,18 +44,24 @@ def _p3_counts(s: SparkSession, d: str) -> DataFrame:
     return overlap.overlap_counts(_t(s, d, "train_with_negatives"))
 
 
-def _scores(s: SparkSession, d: str) -> DataFrame:
+def _scores(s: SparkSession, d: str, **options: int) -> DataFrame:
     q = _t(s, d, "train_with_negatives").select("row_index", "query")
-    return distinctive.term_scores(_t(s, d, "msmarco_docs"), others=(("query", q, "row_index", "query"),))
+    return distinctive.term_scores(_t(s, d, "msmarco_docs"), others=(("query", q, "row_index", "query"),), **options)
 
 
 def _p4_found(s: SparkSession, d: str) -> DataFrame:
+    """The scored words that TESTDATA.md counts as cases. They are told by counts; each has its score all the same."""
     telling = (F.col("df") <= 3) & ((F.col("field") == "query") | (F.col("tf") >= 3))
-    return _scores(s, d).where(telling).select("field", "record_key", "term").distinct()
+    return _scores(s, d).where(telling & F.col("score").isNotNull()).select("field", "record_key", "term").distinct()
+
+
+def _p4_shared(s: SparkSession, d: str) -> DataFrame:
+    """Scores of the words that at least three bodies hold."""
+    return _scores(s, d, min_df=3).select("field", "record_key", "term", (F.round("score", 6) + F.lit(0.0)).alias("score"))
 
 
 def _p4_scores(s: SparkSession, d: str) -> DataFrame:
-    return _scores(s, d).select("field", "record_key", "term", F.round("score", 6).alias("score"))
+    return _scores(s, d).select("field", "record_key", "term", (F.round("score", 6) + F.lit(0.0)).alias("score"))
 
 
 def _p5_found(s: SparkSession, d: str) -> DataFrame:
@@ -114,6 +120,7 @@ def queries() -> dict[str, Query]:
         "p3_counts": _p3_counts,
         "p4_found": _p4_found,
         "p4_scores": _p4_scores,
+        "p4_shared": _p4_shared,
         "p5_found": _p5_found,
         "p5_terms": _p5_terms,
         "p6_found": _p6_found,

@@ -21,10 +21,10 @@ def test_marked_terms(spark, docs, rows):
     assert vocabulary.marked_terms(docs.limit(0)).count() == 0
 
 
-@pytest.mark.parametrize("broadcast_terms", [1_000_000, 0])
-def test_term_scores(spark, docs, broadcast_terms):
+@pytest.mark.parametrize("broadcast_bytes", [64_000_000, 0])
+def test_term_scores(spark, docs, broadcast_bytes):
     q = spark.createDataFrame([(0, "fox zzz FOX"), (1, None), (2, ""), (3, "a b")], "row_index bigint, query string")
-    got = {(r["field"], r["record_key"], r["term"]): r for r in distinctive.term_scores(docs, others=(("query", q, "row_index", "query"),), mu=10, broadcast_terms=broadcast_terms).collect()}
+    got = {(r["field"], r["record_key"], r["term"]): r for r in distinctive.term_scores(docs, others=(("query", q, "row_index", "query"),), mu=10, broadcast_bytes=broadcast_bytes).collect()}
     body = {"d1": ["a"] * 3 + ["fox", "fox", "b"], "d2": ["b", "b", "c"], "d5": ["w"] * 50_000}
     cf = Counter(w for x in body.values() for w in x)
     df = Counter(w for x in body.values() for w in set(x))
