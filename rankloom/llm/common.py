@@ -11,7 +11,7 @@ WORD = r"[\p{L}\p{N}]+"
 #: What counts as white space around an id, also in Python's str.strip().
 SPACES = r"[\s\u001c-\u001f\u0085\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+"
 
-__all__ = ["SPACES", "WORD", "all_pairs", "clean_id", "cut", "discard", "one_per_key", "sent", "spread", "words"]
+__all__ = ["SPACES", "WORD", "all_pairs", "clean_id", "cut", "discard", "gathered_by_key", "one_per_key", "sent", "spread", "words"]
 
 
 def words(text: Column) -> Column:
@@ -48,6 +48,13 @@ def one_per_key(df: DataFrame, key: str, *cols: str) -> DataFrame:
     return once.unionByName(several)
 
 
+def gathered_by_key(df: DataFrame, key: str, *cols: str) -> DataFrame:
+    """As one_per_key, but all rows are shuffled by the key, once: the result stays partitioned by it, so that what is
+    counted for each key needs no other shuffle."""
+    kept = F.min(F.struct(*[F.col(c) for c in cols])).alias("_kept")
+    return df.where(F.col(key).isNotNull()).groupBy(key).agg(kept).select(key, *[F.col("_kept")[c].alias(c) for c in cols])
+
+
 def all_pairs(pairs: DataFrame, members: DataFrame, block: int = 1000) -> DataFrame:
     """(id_a, id_b), a < b: every pair of members of linked classes.
 

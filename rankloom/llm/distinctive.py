@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rankloom.llm.common import cut, one_per_key, words
+from rankloom.llm.common import cut, words
+from rankloom.llm.vocabulary import record_terms
 
 
 def divergence(tf: Column, length: Column, cf: Column, total: float, mu: float) -> Column:
@@ -45,10 +46,9 @@ def term_scores(
     rows; rows that are repeated in another table give their rows again; clashing column names are ignored; an empty
     collection gives an empty result. Very long texts are read whole.
 
-    The collection's texts are split into words once: the counts of each record are written, one row a record, and both
-    the collection's counts and the scores come from them."""
-    own = one_per_key(collection.select(F.col(key).cast("string").alias("record_key"), F.col(text).alias("_t")), "record_key", "_t")
-    own = _exploded(cut(_counted(own)))
+    The collection's texts are split into words once: the counts of each record are written, and both the collection's
+    counts and the scores come from them."""
+    own = cut(record_terms(collection.select(F.col(key).cast("string").alias("record_key"), F.col(text).alias("_t")), "record_key", ["_t"]))
     stats = cut(own.groupBy("term").agg(F.sum("tf").alias("cf"), F.count("*").alias("df")))
     total = float(stats.agg(F.sum("cf")).first()[0] or 1)
     known = stats.where(F.col("df") >= min_df)
@@ -60,19 +60,15 @@ def term_scores(
 
     out = scored(text, own)
     for field, df, k, t in others:
-        out = out.unionByName(scored(field, _exploded(_counted(df.select(F.col(k).cast("string").alias("record_key"), F.col(t).alias("_t"))))))
+        out = out.unionByName(scored(field, _counted(df.select(F.col(k).cast("string").alias("record_key"), F.col(t).alias("_t")))))
     return out
 
 
 def _counted(df: DataFrame) -> DataFrame:
-    """(record_key, length, terms array<struct<term, tf>>), counted inside the row: equal words stand together once sorted,
-    so a word's count is the distance between two starts. Nothing is shuffled."""
+    """(record_key, length, term, tf) of each row, counted inside it: equal words stand together once sorted, so a word's
+    count is the distance between two starts. Nothing is shuffled, and rows of one key stay apart."""
     w = df.select("record_key", F.sort_array(words(F.col("_t"))).alias("_w")).where(F.size("_w") > 0)
     starts = F.filter(F.sequence(F.lit(0), F.size("_w") - 1), lambda i: (i == 0) | (F.col("_w")[i] != F.get(F.col("_w"), i - 1)))
     w = w.select("record_key", "_w", F.size("_w").alias("length"), starts.alias("_s"))
     runs = F.transform("_s", lambda s, k: F.struct(F.get(F.col("_w"), s).alias("term"), (F.coalesce(F.get(F.col("_s"), k + 1), F.col("length")) - s).cast("bigint").alias("tf")))
-    return w.select("record_key", "length", runs.alias("terms"))
-
-
-def _exploded(counted: DataFrame) -> DataFrame:
-    return counted.select("record_key", "length", F.explode("terms").alias("_x")).select("record_key", "length", "_x.term", "_x.tf")
+    return w.select("record_key", "length", F.explode(runs).alias("_x")).select("record_key", "length", "_x.term", "_x.tf")

@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rankloom.llm.common import clean_id, cut, sent, words
+from rankloom.llm.common import clean_id, cut, sent, spread, words
 
 MAX_EDITS, EDIT_SHARE = 3, 5  # at most three edits and at most a fifth of the longer text
 WEIGHT_BITS = 53  # a term is a number: its weight above so many bits of hash, so the heaviest come first in falling order
@@ -112,6 +112,7 @@ def cosine_join(forms: DataFrame, known_terms: int = 4096) -> DataFrame:
     idf comes from counts over all texts, combined by batch; those of the known_terms most frequent pairs are broadcast,
     all rarer ones weigh most. Lists carry numbers of texts, not texts; hot ones are split by adaptive execution."""
     spark = forms.sparkSession
+    forms = spread(cut(forms.select("group", "text", "left", "right")))
     by_pair = forms.select("text").mapInPandas(_counts, "code bigint, n bigint").groupBy("code").agg(F.sum("n").alias("n"))
     by_pair = cut(by_pair)
     total = by_pair.agg(F.sum("n")).first()[0] or 0
@@ -126,7 +127,7 @@ def cosine_join(forms: DataFrame, known_terms: int = 4096) -> DataFrame:
                 yield pd.concat([pdf.reset_index(drop=True), vectors(pdf.text.tolist(), *sent_terms.value)], axis=1)
 
     schema = "group string, text string, left boolean, right boolean, n int, w bigint, lost array<bigint>, terms array<bigint>, prefix array<bigint>, rest array<bigint>, m1 bigint, m2 bigint"
-    v = cut(cut(forms.select("group", "text", "left", "right")).mapInPandas(run, schema).withColumn("id", F.monotonically_increasing_id()))
+    v = spread(cut(forms.mapInPandas(run, schema).withColumn("id", F.monotonically_increasing_id())))
     near = F.filter(F.sequence(F.greatest(F.lit(1), F.col("n") - MAX_EDITS), F.col("n") + MAX_EDITS), lambda m: F.abs(m - F.col("n")) <= F.least(F.lit(MAX_EDITS), F.floor(F.greatest(m, "n") / EDIT_SHARE)))
     cols = ("id", "n", "w", "lost", "m1", "m2")
     side = lambda x, *more: v.select("group", *[F.col(c).alias(f"{c}_{x}") for c in cols], *more, F.explode(F.arrays_zip(F.col("prefix").alias("t"), F.col("rest").alias("r"))).alias("z")).withColumn("term", F.col("z.t")).withColumn(f"r_{x}", F.col("z.r")).drop("z")

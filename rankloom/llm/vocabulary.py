@@ -5,16 +5,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rankloom.llm.common import one_per_key, words
+from rankloom.llm.common import gathered_by_key, words
 
 
 def record_terms(df: DataFrame, key: str, texts: list[str]) -> DataFrame:
-    """(key, term, tf): how often each word occurs in the texts of a record, one record for each non-null key.
+    """(key, length, term, tf): how often each word occurs in the texts of a record of `length` words, one record for each
+    non-null key.
 
     The one shuffle is that of the texts by key; counting within a record needs no other."""
-    each = one_per_key(df, key, *texts)
-    both = F.concat(*[words(F.col(c)) for c in texts])
-    return each.select(key, F.explode(both).alias("term")).groupBy(key, "term").agg(F.count("*").alias("tf"))
+    each = gathered_by_key(df, key, *texts)
+    w = each.select(key, F.concat(*[words(F.col(c)) for c in texts]).alias("_w"))
+    return w.select(key, F.size("_w").alias("length"), F.explode("_w").alias("term")).groupBy(key, "length", "term").agg(F.count("*").alias("tf"))
 
 
 def term_counts(df: DataFrame, key: str, texts: list[str]) -> DataFrame:
