@@ -10,7 +10,7 @@ from collections.abc import Iterable
 from pyspark.sql import SparkSession
 
 from rankloom.operators.dense import DenseSearch, hashing_encoder
-from rankloom.operators.index import SearchIndex, build_index
+from rankloom.operators.index import SearchIndex, write_index
 from rankloom.operators.ranker import RankingModel
 from rankloom.operators.search import SearchEngine
 from rankloom.plans.query_language import SearchMode
@@ -67,7 +67,7 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None, lines
     spark = spark or SparkSession.builder.appName("rankloom").getOrCreate()
     if a.command == "index":
         began = time.time()
-        build_index(read_corpus(spark, a.corpus, a.max_rows)).save(a.index)
+        write_index(read_corpus(spark, a.corpus, a.max_rows), a.index)
         print(f"indexed in {time.time() - began:.1f} s")
     else:
         answer(open_engine(spark, a), a, lines if lines is not None else sys.stdin)

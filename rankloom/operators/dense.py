@@ -6,7 +6,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.functions import array_to_vector
@@ -88,14 +88,20 @@ def assign_clusters(vectors: DataFrame, centroids: DataFrame, vec_col: str = "em
     return vectors.withColumn("cluster", nearest(vec_col))
 
 
-def closest_clusters(queries: DataFrame, centroids: DataFrame, probes: int = PROBES) -> DataFrame:
-    """(qid, cluster, distance, place): each query's nearest centroids by Euclidean distance.
+def _closest(queries: np.ndarray, centres: np.ndarray, probes: int) -> tuple[np.ndarray, np.ndarray]:
+    """Positions and Euclidean distances of each query's nearest centres; ties go to the first."""
+    d = np.sqrt(np.maximum(0, (queries**2).sum(axis=1)[:, None] + (centres**2).sum(axis=1)[None, :] - 2 * queries @ centres.T))
+    near = np.argsort(np.round(d, 9), axis=1, kind="stable")[:, :probes]
+    return near, np.take_along_axis(d, near, axis=1)
 
-    queries(qid, q) is a batch; it is sent to the centroids, a bounded table."""
-    each = centroids.withColumn("_one", F.lit(0)).join(F.broadcast(queries.withColumn("_one", F.lit(0))), "_one")
-    d = each.select("qid", "cluster", S.euclidean(F.col("q"), F.col("centroid")).alias("distance"))
-    place = F.row_number().over(Window.partitionBy("qid").orderBy(F.round("distance", 9), "cluster"))
-    return d.withColumn("place", place).where(F.col("place") <= probes)
+
+def closest_clusters(spark: SparkSession, queries: list[tuple[int, list[float]]], centroids: DataFrame, probes: int = PROBES) -> DataFrame:
+    """(qid, cluster, distance, place): each query's nearest centroids by Euclidean distance. A batch of queries and the
+    centroids are both bounded, so the driver does it by one matrix product."""
+    ids, c = _centres(centroids)
+    near, d = _closest(np.array([x[1] for x in queries], float), c, probes)
+    rows = [(q, int(ids[j]), float(x), place) for (q, _), js, xs in zip(queries, near, d) for place, (j, x) in enumerate(zip(js, xs), 1)]
+    return spark.createDataFrame(rows, "qid bigint, cluster int, distance double, place int")
 
 
 def exact_top(vectors: DataFrame, queries: list[tuple[int, list[float]]], k: int = 100, id_col: str = "doc_id", vec_col: str = "embedding", block: int = 512) -> DataFrame:
@@ -110,9 +116,7 @@ def pruned_top(vectors: DataFrame, centroids: DataFrame, queries: list[tuple[int
     """As exact_top, over the vectors of each query's nearest clusters alone. vectors has the column cluster; where the
     table is partitioned by it, the clusters no query asks for are not read."""
     ids, c = _centres(centroids)
-    q = np.array([x[1] for x in queries], float)
-    d = ((q[:, None, :] - c[None, :, :]) ** 2).sum(axis=2)
-    near = ids[np.argsort(np.round(d, 9), axis=1, kind="stable")[:, :probes]]
+    near = ids[_closest(np.array([x[1] for x in queries], float), c, probes)[0]]
     v = vectors.where(F.col("cluster").isin(sorted({int(x) for x in near.ravel()})))
     return _scan(v.select(F.col(id_col).alias("id"), F.col("cluster").cast("int").alias("cluster"), F.col(vec_col).cast("array<float>").alias("v")), queries, near, k, id_col, block)
 
@@ -125,7 +129,8 @@ def _scan(v: DataFrame, queries: list[tuple[int, list[float]]], near: np.ndarray
 
     def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         qids, u, near = sent.value
-        best = pd.DataFrame({"q": [], "id": [], "similarity": []})
+        best = [np.empty(0, "int64"), np.empty(0, object), np.empty(0)]
+        least = np.full(len(u), -np.inf)
         for pdf in it:
             if not len(pdf):
                 continue
@@ -138,18 +143,20 @@ def _scan(v: DataFrame, queries: list[tuple[int, list[float]]], near: np.ndarray
                 s = np.round(u[at : at + block] @ m.T, 9)
                 if near is not None:
                     s[~(near[at : at + block, :, None] == cl[None, None, :]).any(axis=1)] = -np.inf
-                for i, row in enumerate(s):
-                    top = np.lexsort((ids, -row))[:k] if len(row) <= 4 * k else None
-                    if top is None:
-                        least = np.partition(row, len(row) - k)[len(row) - k]
-                        some = np.flatnonzero(row >= least)
-                        top = some[np.lexsort((ids[some], -row[some]))[:k]]
-                    top = top[np.isfinite(row[top])]
-                    found.append(pd.DataFrame({"q": at + i, "id": ids[top], "similarity": row[top]}))
-            best = pd.concat([f for f in found if len(f)] or [best])
-            best = best.sort_values(["q", "similarity", "id"], ascending=[True, False, True]).groupby("q", sort=False).head(k)
-        if len(best):
-            yield pd.DataFrame({"qid": [qids[int(i)] for i in best.q], "id": best.id, "similarity": best.similarity})
+                floor = least[at : at + block]
+                if s.shape[1] > k:  # what ties with the k-th stays, ids decide
+                    floor = np.maximum(floor, np.partition(s, -k, axis=1)[:, -k])
+                a, b = np.nonzero((s >= floor[:, None]) & np.isfinite(s))
+                found.append([a + at, ids[b], s[a, b]])
+            q, i, s = (np.concatenate(x) for x in zip(*found))
+            order = np.lexsort((i, -s, q))
+            q, i, s = q[order], i[order], s[order]
+            nth = np.arange(len(q)) - np.searchsorted(q, q)
+            full = nth == k - 1
+            least[q[full]] = s[full]
+            best = [x[nth < k] for x in (q, i, s)]
+        if len(best[0]):
+            yield pd.DataFrame({"qid": np.array(qids)[best[0]], "id": best[1], "similarity": best[2]})
 
     part = v.mapInPandas(run, f"qid bigint, id {kind}, similarity double")
     rank = F.row_number().over(Window.partitionBy("qid").orderBy(F.desc("similarity"), "id"))
@@ -188,8 +195,8 @@ class DenseSearch:
         if self.approximate:
             sizes = {r["cluster"]: r["count"] for r in self.vectors.groupBy("cluster").count().collect()}
             ids, cen = _centres(self.centroids)
-            d = ((np.array([x[1] for x in coded])[:, None, :] - cen[None, :, :]) ** 2).sum(axis=2)
-            compared = [(q, sum(sizes.get(int(i), 0) for i in ids[np.argsort(np.round(row, 9), kind="stable")[: self.probes]])) for (q, _), row in zip(coded, d)]
+            near, _ = _closest(np.array([x[1] for x in coded], float), cen, self.probes)
+            compared = [(q, sum(sizes.get(int(i), 0) for i in ids[row])) for (q, _), row in zip(coded, near)]
         else:
             n = self.vectors.count()
             compared = [(q, n) for q, _ in coded]

@@ -27,16 +27,9 @@ class SearchIndex:
     corpus_stats: DataFrame
 
     def save(self, path: str, files: int | None = None) -> None:
-        """Parquet tables below path; terms and trigrams sorted for pruned lookups."""
+        """Parquet tables below path; postings, terms and trigrams sorted for pruned lookups."""
         for f in fields(self):
-            df: DataFrame = getattr(self, f.name)
-            if f.name == "postings":
-                write_postings(df, f"{path}/postings", files)
-            elif f.name in ("terms", "trigrams"):
-                key = "term" if f.name == "terms" else "trigram"
-                df.repartitionByRange(key, *([] if key == "term" else ["term"])).sortWithinPartitions(key, *([] if key == "term" else ["term"])).write.mode("overwrite").parquet(f"{path}/{f.name}")
-            else:
-                df.write.mode("overwrite").parquet(f"{path}/{f.name}")
+            _write(getattr(self, f.name), f"{path}/{f.name}", f.name, files)
 
     @staticmethod
     def load(spark: SparkSession, path: str) -> SearchIndex:
@@ -52,6 +45,18 @@ class SearchIndex:
         return t.exceptAll(self.terms.select("term", "df")).isEmpty() and self.terms.select("term", "df").exceptAll(t).isEmpty()
 
 
+def _write(df: DataFrame, path: str, table: str, files: int | None = None) -> DataFrame:
+    """Writes one table of an index and gives it as read back."""
+    if table == "postings":
+        write_postings(df, path, files)
+    elif table in ("terms", "trigrams"):
+        by = ["term"] if table == "terms" else ["trigram", "term"]
+        df.repartitionByRange(*by).sortWithinPartitions(*by).write.mode("overwrite").parquet(path)
+    else:
+        df.write.mode("overwrite").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def tokenized(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", tokens(F.col("title")).alias("title_tokens"), tokens(F.col("body")).alias("body_tokens"))
 
@@ -79,15 +84,32 @@ def trigrams_of(terms: DataFrame) -> DataFrame:
     return g.select("trigram", "term", "n")
 
 
+def _numbered(raw: DataFrame, doc_id: str | None) -> DataFrame:
+    docs = corpus(raw)
+    docs = docs.join(raw.select("docid", F.col(doc_id).alias("doc_id")).distinct(), "docid") if doc_id else dense_index(docs, ["docid"])
+    return docs.select("doc_id", "docid", "url", "title", "body")
+
+
 def build_index(raw: DataFrame, doc_id: str | None = None, written: bool = False) -> SearchIndex:
     """Index of a corpus (docid, url, title, body), one document for each distinct docid.
 
     Documents are numbered in the order of docid, unless the column doc_id already numbers them. The tables are lazy, so
-    save the index before asking it many things; `written` checkpoints those that all queries go back to."""
+    save the index before asking it many things; `written` writes those that all queries go back to."""
     keep = cut if written else lambda df: df
-    docs = corpus(raw)
-    docs = docs.join(raw.select("docid", F.col(doc_id).alias("doc_id")).distinct(), "docid") if doc_id else dense_index(docs, ["docid"])
-    docs = keep(docs.select("doc_id", "docid", "url", "title", "body"))
+    docs = keep(_numbered(raw, doc_id))
     postings, lengths = keep(postings_of(docs)), keep(lengths_of(docs))
     by_term = keep(postings.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf_body").alias("in_bodies")))
     return SearchIndex(docs, postings, by_term.select("term", "df"), trigrams_of(by_term.where("in_bodies > 0")), lengths, corpus_stats_of(lengths))
+
+
+def write_index(raw: DataFrame, path: str, doc_id: str | None = None, files: int | None = None) -> SearchIndex:
+    """build_index() straight into tables below path, each made from those before it as written: texts are split into
+    tokens once for the postings and once for the lengths, and nothing is computed again. Gives the index as loaded."""
+    docs = _write(_numbered(raw, doc_id), f"{path}/docs", "docs")
+    postings = _write(postings_of(docs), f"{path}/postings", "postings", files)
+    lengths = _write(lengths_of(docs), f"{path}/doc_stats", "doc_stats")
+    by_term = cut(postings.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf_body").alias("in_bodies")))
+    _write(by_term.select("term", "df"), f"{path}/terms", "terms")
+    _write(trigrams_of(by_term.where("in_bodies > 0")), f"{path}/trigrams", "trigrams")
+    _write(corpus_stats_of(lengths), f"{path}/corpus_stats", "corpus_stats")
+    return SearchIndex.load(raw.sparkSession, path)

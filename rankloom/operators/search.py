@@ -13,10 +13,13 @@ from rankloom.functions.text import snippet
 from rankloom.operators.index import SearchIndex
 from rankloom.operators.spelling import corrections
 from rankloom.plans.query_language import Leaf, Node, SearchMode, holds, leaves, numbered, parse, predicate, simplified
+from rankloom.session import cut
 
 # The ten features of a (query, document) pair, in their order.
 FEATURES = ["bm25_score", "bm25_score_body", "bm25_score_title", "body_first_occurrence_mean", "title_first_occurrence_mean", "body_first_occurrence_min", "title_first_occurrence_min", "body_length_norm", "title_length_norm", "in_title"]
 CANDIDATES = 100
+MAX_BATCH = 100_000  # queries of one batch; what is broadcast is bounded by it
+BROADCAST_ROWS = 1_000_000  # rows of a batch's words that are broadcast; more are left to the planner
 RETURNED = 10
 SNIPPET = 100
 
@@ -116,48 +119,87 @@ class SearchEngine:
 
     # --- the plan ----------------------------------------------------------------------------------------------------
 
-    def matches(self, c: Compiled) -> DataFrame:
-        """(qid, doc_id, three BM25 scores, features) of every document that a query matches."""
+    def matches(self, c: Compiled, first: int | None = None) -> DataFrame:
+        """(qid, doc_id, three BM25 scores, features) of every document that a query matches; with `first`, of queries that
+        match documents without any of their words only as many of those as the first so many of all need."""
+        return self._features(c, self._found(c, self._grouped(c), first))
+
+    def _grouped(self, c: Compiled) -> DataFrame:
+        """(qid, doc_id, sums, _holds): the documents that hold a word of a query, and whether they match it."""
         spark = self.index.docs.sparkSession
-        words = spark.createDataFrame(c.words, "qid bigint, leaf int, offset int, term string, idf double")
-        postings = self.index.postings.where(F.col("term").isin(sorted({w[3] for w in c.words}))) if len({w[3] for w in c.words}) <= 1000 else self.index.postings
-        hits = postings.join(F.broadcast(words), "term")  # as many rows as the batch has words
         long = {(q, i) for q, t in c.trees.items() for i, x in enumerate(leaves(t)) if len(x.words) > 1}
+        size = {(q, i): len(leaves(c.trees[q])[i].words) for q, i in long}
+        words = spark.createDataFrame([(*w, size.get(w[:2], 0)) for w in c.words], "qid bigint, leaf int, offset int, term string, idf double, n_phrase int")
+        terms = sorted({w[3] for w in c.words})
+        postings = self.index.postings.where(F.col("term").isin(terms)) if len(terms) <= 1000 else self.index.postings.where(F.col("term").between(terms[0], terms[-1]))
+        hits = postings.join(_few(words, len(c.words)), "term")
         st = self.stats
         weight = lambda f: S.term_weight(F.col(f"tf_{f}"), F.col(f"{f}_len"), F.lit(float(st[f"avg_{f}"] or 0)))
         first = lambda f: F.coalesce(F.get(F.col(f"pos_{f}"), 0) / F.col(f"{f}_len"), F.lit(1.0))
-        plain = F.array(*[F.struct(F.lit(q).cast("bigint").alias("q"), F.lit(i).alias("i")) for q, i in sorted(long)]) if long else None
-        in_phrase = F.array_contains(plain, F.struct(F.col("qid").alias("q"), F.col("leaf").alias("i"))) if long else F.lit(False)
         both = weight("body") + S.TITLE_WEIGHT * weight("title")
         rows = hits.select(
-            "qid", "doc_id", F.when(~in_phrase, F.col("leaf")).alias("leaf"), "title_len", "body_len",
+            "qid", "doc_id", F.when(F.col("n_phrase") == 0, F.col("leaf")).alias("leaf"), "title_len", "body_len",
             S.bm25_part(F.col("idf"), both).alias("s"), S.bm25_part(F.col("idf"), weight("body")).alias("sb"), S.bm25_part(F.col("idf"), weight("title")).alias("st"),
             first("body").alias("fb"), first("title").alias("ft"),
         )
         if long:
-            rows = rows.unionByName(self._phrases(hits, c, long), allowMissingColumns=True)
+            rows = rows.unionByName(self._phrases(hits), allowMissingColumns=True)
         g = rows.groupBy("qid", "doc_id").agg(
             F.collect_set("leaf").alias("got"), F.sum("s").alias("s"), F.sum("sb").alias("sb"), F.sum("st").alias("st"), F.count("s").alias("k"),
             F.sum("fb").alias("fb"), F.sum("ft").alias("ft"), F.min("fb").alias("fb_min"), F.min("ft").alias("ft_min"), F.max("title_len").alias("title_len"), F.max("body_len").alias("body_len"),
         )
-        shapes: dict[str, list[int]] = {}
-        tree_of: dict[str, Node] = {}
+        # each query has the number of its tree's shape; queries of one shape share one predicate
+        shapes: dict[str, tuple[int, Node]] = {}
+        shape_of = []
         for q, t in c.trees.items():
-            shape, _ = numbered(t)
-            shapes.setdefault(shape, []).append(q)
-            tree_of[shape] = t
+            shape_of.append((q, shapes.setdefault(numbered(t)[0], (len(shapes), t))[0]))
         true = F.lit(False)
-        for shape, qids in shapes.items():
-            true = true | (F.col("qid").isin(qids) & predicate(tree_of[shape], lambda i: F.array_contains("got", i)))
-        absent = {q for q, t in c.trees.items() if holds(t, set())} | c.every
-        found = g.where(true) if not absent else g
-        if absent:
-            # these match documents that hold none of their words: each such query is set against all documents
-            found = g.withColumn("_true", true | (F.col("qid").isin(sorted(c.every)) if c.every else F.lit(False)))
-            every = self.index.doc_stats.select(F.explode(F.array(*[F.lit(q).cast("bigint") for q in sorted(absent)])).alias("qid"), "doc_id", F.col("title_len").alias("tl"), F.col("body_len").alias("bl"))
-            found = every.join(found, ["qid", "doc_id"], "full").where(F.coalesce("_true", F.lit(True))).withColumn("title_len", F.coalesce("title_len", "tl")).withColumn("body_len", F.coalesce("body_len", "bl")).drop("tl", "bl", "_true")
+        for number, t in shapes.values():
+            true = F.when(F.col("_shape") == number, predicate(t, lambda i: F.array_contains("got", i))).otherwise(true)
+        table = spark.createDataFrame(shape_of, "qid bigint, _shape int")
+        return g.join(_few(table, len(shape_of)), "qid", "left").withColumn("_holds", true).drop("_shape", "got")
+
+    def _absent(self, c: Compiled) -> set[int]:
+        """Queries that match documents without any of their words."""
+        return {q for q, t in c.trees.items() if holds(t, set())} | c.every
+
+    def _found(self, c: Compiled, g: DataFrame, first: int | None = None) -> DataFrame:
+        found, absent = g.where("_holds"), self._absent(c)
+        if c.every:
+            every = self._few_qids(c.every).withColumn("_every", F.lit(True))
+            found = g.join(every, "qid", "left").where(F.col("_holds") | F.coalesce("_every", F.lit(False))).drop("_every")
+        if not absent:
+            return found.drop("_holds")
+        # what such a query matches is the collection less the documents that hold its words: a table of that size, which
+        # is what was asked for. Those without a word all score 0 and go by number, so the first n of them are among the
+        # first n + m of the collection, m being the documents that hold a word.
+        asked = self._few_qids(absent)
+        docs = self.index.doc_stats
+        if first is not None:
+            most = g.join(asked, "qid").groupBy("qid").count().agg(F.max("count")).first()[0] or 0
+            docs = docs.orderBy("doc_id").limit(first + most)
+        rest = docs.join(asked).join(g.select("qid", "doc_id"), ["qid", "doc_id"], "left_anti")
+        return found.drop("_holds").unionByName(rest, allowMissingColumns=True)
+
+    def _few_qids(self, qids: set[int]) -> DataFrame:
+        return _few(self.index.docs.sparkSession.createDataFrame([(q,) for q in sorted(qids)], "qid bigint"), len(qids))
+
+    def totals(self, c: Compiled, g: DataFrame) -> DataFrame:
+        """(qid, num_results)."""
+        found = F.col("_holds") | F.col("qid").isin(sorted(c.every)) if c.every else F.col("_holds")
+        counts = g.groupBy("qid").agg(F.count("*").alias("m"), F.count(F.when(found, 1)).alias("t"))
+        absent = self._absent(c)
+        if not absent:
+            return counts.where("t > 0").select("qid", F.col("t").alias("num_results"))
+        n = F.lit(int(self.stats["n"]))
+        flag = self._few_qids(absent).withColumn("_absent", F.lit(True))
+        both = flag.join(counts, "qid", "full").select("qid", (F.coalesce("t", F.lit(0)) + F.when(F.col("_absent"), n - F.coalesce("m", F.lit(0))).otherwise(F.lit(0))).cast("bigint").alias("num_results"))
+        return both.where("num_results > 0")
+
+    def _features(self, c: Compiled, found: DataFrame) -> DataFrame:
+        spark, st = self.index.docs.sparkSession, self.stats
         n_words = spark.createDataFrame([(q, n) for q, n in c.n_words.items()] + [(q, 0) for q in c.every - set(c.n_words)], "qid bigint, n_words int")
-        f = found.join(F.broadcast(n_words), "qid")
+        f = found.join(_few(n_words, len(c.qids)), "qid")
         mean = lambda x: F.when(F.col("n_words") > 0, (F.coalesce(x, F.lit(0.0)) + (F.col("n_words") - F.coalesce("k", F.lit(0)))) / F.col("n_words")).otherwise(F.lit(1.0))
         least = lambda x: F.coalesce(x, F.lit(1.0))
         share = lambda f: (F.col(f"{f}_len") / F.lit(float(st[f"max_{f}"]))) if st[f"max_{f}"] else F.lit(0.0)
@@ -167,15 +209,16 @@ class SearchEngine:
             least("fb_min").alias(FEATURES[5]), least("ft_min").alias(FEATURES[6]), share("body").alias(FEATURES[7]), share("title").alias(FEATURES[8]), (least("ft_min") < 1.0).cast("int").alias(FEATURES[9]),
         )
 
-    def _phrases(self, hits: DataFrame, c: Compiled, long: set[tuple[int, int]]) -> DataFrame:
+    @staticmethod
+    def _phrases(hits: DataFrame) -> DataFrame:
         """(qid, doc_id, leaf) where the words of a phrase stand side by side in the body, or in the title."""
-        spark = self.index.docs.sparkSession
-        size = spark.createDataFrame([(q, i, len(leaves(c.trees[q])[i].words)) for q, i in sorted(long)], "qid bigint, leaf int, n_phrase int")
-        h = hits.join(F.broadcast(size), ["qid", "leaf"])
         back = lambda p: F.transform(p, lambda x: x - F.col("offset"))
-        g = h.groupBy("qid", "doc_id", "leaf").agg(F.first("n_phrase").alias("n_phrase"), F.collect_list(F.struct(back(F.col("pos_body")).alias("b"), back(F.col("pos_title")).alias("t"))).alias("at"))
+        h = hits.where("n_phrase > 0").select("qid", "doc_id", "leaf", "n_phrase", "offset", back(F.col("pos_body")).alias("b"), back(F.col("pos_title")).alias("t"))
+        # documents that hold all the words, before any positions are moved
+        whole = h.groupBy("qid", "doc_id", "leaf").agg(F.count("*").alias("n"), F.first("n_phrase").alias("n_phrase")).where("n = n_phrase").select("qid", "doc_id", "leaf")
+        g = h.join(whole, ["qid", "doc_id", "leaf"], "left_semi").groupBy("qid", "doc_id", "leaf").agg(F.collect_list(F.struct("b", "t")).alias("at"))
         meets = lambda f: F.size(F.aggregate(F.slice("at", 2, F.size("at")), F.get(F.col("at"), 0)[f], lambda a, x: F.array_intersect(a, x[f]))) > 0
-        return g.where((F.size("at") == F.col("n_phrase")) & (meets("b") | meets("t"))).select("qid", "doc_id", "leaf")
+        return g.where(meets("b") | meets("t")).select("qid", "doc_id", "leaf")
 
     @staticmethod
     def top(df: DataFrame, score: str, k: int, by: str = "qid") -> DataFrame:
@@ -185,9 +228,11 @@ class SearchEngine:
 
     def rank(self, c: Compiled, num_return: int = RETURNED, num_candidates: int = CANDIDATES, rerank: bool = True) -> DataFrame:
         """(qid, rank, score, doc_id, num_results, features)."""
-        m = self.matches(c)
-        totals = m.groupBy("qid").agg(F.count("*").alias("num_results"))
-        top = self.top(m, FEATURES[0], num_candidates if self.ranker and rerank else min(num_candidates, num_return))
+        keep = num_candidates if self.ranker and rerank else min(num_candidates, num_return)
+        g = self._grouped(c)
+        g = cut(g) if self._absent(c) else g
+        totals = self.totals(c, g)
+        top = self.top(self._features(c, self._found(c, g, keep)), FEATURES[0], keep)
         if self.ranker and rerank:
             top = self.top(self.ranker(top.drop("rank")), "score", num_return)
         else:
@@ -218,14 +263,21 @@ class SearchEngine:
         return self.fetch(self.rank(self.compile(batch, mode, spelling, idf_threshold), num_return, num_candidates, rerank), snippet_length)
 
     def fetch(self, ranked: DataFrame, snippet_length: int = SNIPPET) -> DataFrame:
-        """Joins the texts of ranked rows, a batch's results being few."""
-        r = ranked.select("qid", "rank", "score", "doc_id", "num_results")
-        d = self.index.docs.join(F.broadcast(r), "doc_id")
+        """Joins the texts of ranked rows; the rows are written and broadcast if few."""
+        r = cut(ranked.select("qid", "rank", "score", "doc_id", "num_results"))
+        d = self.index.docs.join(_few(r, r.count()), "doc_id")
         return d.select("qid", "rank", "score", "doc_id", "docid", "url", "title", snippet(F.col("body"), snippet_length).alias("body_snippet"), "num_results")
 
 
-def as_batch(queries: list[str] | list[tuple[int, str]] | DataFrame) -> list[tuple[int, str]]:
+def _few(df: DataFrame, rows: int) -> DataFrame:
+    """df to be broadcast if it has so few rows."""
+    return F.broadcast(df) if rows <= BROADCAST_ROWS else df
+
+
+def as_batch(queries: list[str] | list[tuple[int, str]] | DataFrame, most: int = MAX_BATCH) -> list[tuple[int, str]]:
+    """(qid, text) pairs of one batch; more than `most` are refused, not cut: split them into batches."""
     if isinstance(queries, DataFrame):
-        return [(r[0], r[1]) for r in queries.select("queryid", "query").collect()]
+        queries = [(r[0], r[1]) for r in queries.select("queryid", "query").limit(most + 1).collect()]
+    if len(queries) > most:
+        raise ValueError(f"a batch holds at most {most} queries")
     return [(i, q) if isinstance(q, str) or q is None else tuple(q) for i, q in enumerate(queries)]
-

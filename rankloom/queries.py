@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from functools import wraps
+from uuid import uuid4
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
@@ -12,12 +13,12 @@ from pyspark.sql import functions as F
 from rankloom.functions import scoring as S
 from rankloom.functions.text import snippet, tokens
 from rankloom.operators import dense, ltr
-from rankloom.operators.index import build_index, tokenized
+from rankloom.operators.index import build_index, tokenized, write_index
 from rankloom.operators.ranker import RankingModel
 from rankloom.operators.search import FEATURES, SearchEngine, frequent_terms, with_idf
 from rankloom.operators.spelling import corrections, jaccard_candidates
 from rankloom.plans.query_language import SearchMode
-from rankloom.session import cut
+from rankloom.session import cut, shared_folder
 from rankloom.sources.readers import corpus, read_table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -49,10 +50,10 @@ def queries() -> dict[str, Query]:
 
 
 def engine(spark: SparkSession, d: str) -> SearchEngine:
-    """The index of msmarco_docs, built once a session and folder, as a server opens its index once."""
+    """The index of msmarco_docs, written and loaded once a session and folder, as a server opens its index once."""
     key = (spark.sparkContext.applicationId, d)
     if key not in _open:
-        e = SearchEngine(build_index(read_table(spark, d, "msmarco_docs"), written=True))
+        e = SearchEngine(write_index(read_table(spark, d, "msmarco_docs"), f"{shared_folder(spark)}/index-{uuid4().hex}"))
         e.stats  # noqa: B018
         _open[key] = e
     return _open[key]
@@ -364,8 +365,7 @@ def cluster_centroids(spark: SparkSession, d: str) -> DataFrame:
 @query
 def top_clusters(spark: SparkSession, d: str) -> DataFrame:
     v = read_table(spark, d, "embeddings")
-    q = spark.createDataFrame(_vector_batch(v, "vec_id"), "qid bigint, q array<double>")
-    return dense.closest_clusters(q, cut(dense.mean_centroids(v))).select("qid", "cluster", F.round("distance", 6).alias("distance"))
+    return dense.closest_clusters(spark, _vector_batch(v, "vec_id"), dense.mean_centroids(v)).select("qid", "cluster", F.round("distance", 6).alias("distance"))
 
 
 @query

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -43,15 +47,14 @@ def read_matrix(spark: SparkSession, path: str, dim: int) -> DataFrame:
     """(doc_id, embedding) from a raw little-endian float32 file of rows of `dim` numbers, row i being document i.
 
     Spark cuts the file into fixed-length records; a short last record is left out."""
-    raw = spark.sparkContext.binaryRecords(path, 4 * dim).zipWithIndex()
-
-    def rows(it):
-        import numpy as np
+    raw = spark.sparkContext.binaryRecords(path, 4 * dim).zipWithIndex().map(lambda r: (r[1], bytearray(r[0])))
 
-        for b, i in it:
-            yield i, np.frombuffer(bytes(b), "<f4").tolist()
+    def rows(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in it:
+            m = np.frombuffer(b"".join(pdf.raw), "<f4").reshape(-1, dim)
+            yield pd.DataFrame({"doc_id": pdf.doc_id, "embedding": list(m)})
 
-    return spark.createDataFrame(raw.mapPartitions(rows), "doc_id bigint, embedding array<float>")
+    return spark.createDataFrame(raw, "doc_id bigint, raw binary").mapInPandas(rows, "doc_id bigint, embedding array<float>")
 
 
 def corpus(df: DataFrame) -> DataFrame:

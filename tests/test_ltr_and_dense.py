@@ -117,7 +117,7 @@ def test_exact_and_pruned_search(spark):
     one = dense.pruned_top(placed, cent, q, 200, probes=1)
     cluster = {r["doc_id"]: r["cluster"] for r in placed.collect()}
     assert all(cluster[r["doc_id"]] == cluster[r["qid"]] for r in one.collect())
-    near = dense.closest_clusters(spark.createDataFrame(q, "qid bigint, q array<double>"), cent, 1).collect()
+    near = dense.closest_clusters(spark, q, cent, 1).collect()
     assert {r["qid"]: r["cluster"] for r in near} == {7: cluster[7], 9: cluster[9]}
 
 
