@@ -46,27 +46,6 @@ def starts_of(sorted_col: str) -> Column:
     return F.when(F.size(s) > 0, F.filter(all_, lambda i: (i == 0) | (F.get(s, i)["term"] != F.get(s, i - 1)["term"])))
 
 
-def has_phrase(positions: list[Column]) -> Column:
-    """Whether the i-th list has p + i for some p, for all i."""
-    if len(positions) == 1:
-        return F.size(positions[0]) > 0
-    back = lambda i: lambda x: x - i
-    starts = [F.transform(p, back(i)) for i, p in enumerate(positions)]
-    both = starts[0]
-    for s in starts[1:]:
-        both = F.array_intersect(both, s)
-    return F.size(both) > 0
-
-
 def snippet(body: Column, length: int) -> Column:
     """The first `length` bytes of the text; a character cut in two becomes U+FFFD."""
     return F.make_valid_utf8(F.substring(body.cast("binary"), 1, length).cast("string"))
-
-
-def snippet_chars(body: Column, length: int) -> Column:
-    return F.substring(body, 1, length)
-
-
-def first_occurrence(position: Column, length: Column) -> Column:
-    """The first position over the length of the field; 1.0 where the term doesn't occur."""
-    return F.coalesce(position / length, F.lit(1.0))

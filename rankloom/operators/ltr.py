@@ -76,6 +76,11 @@ def select_negatives(long: DataFrame, n: int = 10, rank: str = "neg_rank", match
     return long.where(near | far)
 
 
+def select_dev_negatives(long: DataFrame, n: int = 100, rank: str = "neg_rank") -> DataFrame:
+    """The n candidates of a development sample: ranks 1 to n, the positive's own rank among them."""
+    return long.where(F.col(rank).between(1, n))
+
+
 def random_split(df: DataFrame, key: str, cuts: tuple[float, ...] = (0.8, 0.9), names: tuple[str, ...] = ("train", "val", "test"), seed: int = 42, out: str = "split") -> DataFrame:
     """Rows in the order of a seeded digest of their key, cut at int(n * cut): exact sizes, the same at every run."""
     order = F.md5(F.concat_ws("-", F.col(key).cast("string"), F.lit(str(seed))))

@@ -7,7 +7,7 @@ from functools import wraps
 from uuid import uuid4
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rankloom.functions import scoring as S
@@ -19,7 +19,8 @@ from rankloom.operators.search import FEATURES, SearchEngine, frequent_terms, wi
 from rankloom.operators.spelling import corrections, jaccard_candidates
 from rankloom.plans.query_language import SearchMode
 from rankloom.session import cut, shared_folder
-from rankloom.sources.readers import corpus, read_table
+from rankloom.sources.readers import corpus, read_corpus, read_qrels, read_queries, read_run, read_table
+from rankloom.sources.writers import write_by_rank, write_splits, write_tsv
 
 Query = Callable[[SparkSession, str], DataFrame]
 _REGISTERED: dict[str, Query] = {}
@@ -33,6 +34,11 @@ LAYERS = [
 ]
 
 
+def rounded() -> list[Column]:
+    """The features to six places, from a little above, as many are binary fractions that end in a five."""
+    return [F.round(F.col(f) + 1e-9, 6).alias(f) for f in FEATURES[:-1]]
+
+
 def query(f: Query) -> Query:
     @wraps(f)
     def run(spark: SparkSession, d: str) -> DataFrame:
@@ -149,15 +155,19 @@ def match_phrase(spark: SparkSession, d: str) -> DataFrame:
     return _search(spark, d, SearchMode.PHRASE, _title_starts(spark, d))[1].select("qid", "doc_id", F.round("bm25_score", 6).alias("score"))
 
 
-def _boolean_batch(spark: SparkSession, d: str) -> list[tuple[int, str]]:
+def _three_words(spark: SparkSession, d: str) -> list[tuple[int, list[str]]]:
     out = []
     for q, text in _batch(spark, d):
         w = text.lower().split()
         if len(w) >= 3 and not {*w} & {"and", "or", "not"} and all(x.isascii() and x.isalnum() for x in w[:3]):
-            out.append((q, f"({w[0]} OR {w[1]}) AND NOT {w[2]}"))
+            out.append((q, w[:3]))
     return out
 
 
+def _boolean_batch(spark: SparkSession, d: str) -> list[tuple[int, str]]:
+    return [(q, f"({a} OR {b}) AND NOT {c}") for q, (a, b, c) in _three_words(spark, d)]
+
+
 @query
 def match_boolean_nested(spark: SparkSession, d: str) -> DataFrame:
     return _search(spark, d, SearchMode.QUERY_EVALUATOR, _boolean_batch(spark, d), idf_threshold=None)[1].select("qid", "doc_id", F.round("bm25_score", 6).alias("score"))
@@ -191,7 +201,7 @@ def total_hits(spark: SparkSession, d: str) -> DataFrame:
 @query
 def features_topk(spark: SparkSession, d: str) -> DataFrame:
     e, m = _search(spark, d, SearchMode.OR)
-    return e.top(m, "bm25_score", 100).select("qid", "doc_id", *[F.round(f, 6).alias(f) for f in FEATURES[:-1]], "in_title")
+    return e.top(m, "bm25_score", 100).select("qid", "doc_id", *rounded(), "in_title")
 
 
 @query
@@ -239,7 +249,7 @@ def run_filter_ranks(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def run_pivot(spark: SparkSession, d: str) -> DataFrame:
-    return ltr.pivot_ranks(_run(spark, d), ltr.NEAR_RANKS).withColumnsRenamed({str(r): f"neg_{r}" for r in ltr.NEAR_RANKS})
+    return ltr.pivot_ranks(_run(spark, d), ltr.DEV_RANKS).withColumnsRenamed({str(r): f"neg_{r}" for r in ltr.DEV_RANKS})
 
 
 def _pairs(spark: SparkSession, d: str) -> DataFrame:
@@ -283,7 +293,7 @@ def negative_selection(spark: SparkSession, d: str) -> DataFrame:
 def wide_join(spark: SparkSession, d: str) -> DataFrame:
     lengths = corpus(read_table(spark, d, "msmarco_docs")).select(F.col("docid").alias("neg_docid"), F.length("body").alias("chars"))
     long = _negatives(spark, d).join(lengths, "neg_docid")
-    return ltr.widen(_records(spark, d).select("index", "docid"), long, ltr.NEAR_RANKS, ["chars"])
+    return ltr.widen(_records(spark, d).select("index", "docid"), long, ltr.TRAIN_RANKS, ["chars"])
 
 
 @query
@@ -303,7 +313,7 @@ def offline_features(spark: SparkSession, d: str) -> DataFrame:
     r = read_table(spark, d, "train_with_negatives").select(F.col("row_index").alias("index"), "docid", "query")
     pairs = r.join(e.index.docs.select("docid", "title", "body"), "docid")
     out = ltr.offline_features(pairs, with_idf(e.index), e.stats, ["index"])
-    return out.select("index", *[F.round(f, 6).alias(f) for f in FEATURES[:-1]], "in_title")
+    return out.select("index", *rounded(), "in_title")
 
 
 def _lists(spark: SparkSession, d: str) -> DataFrame:
@@ -388,15 +398,174 @@ def layernorm_truncate(spark: SparkSession, d: str) -> DataFrame:
     return v.select("vec_id", F.posexplode("embedding").alias("i", "x")).select("vec_id", "i", F.round("x", 5).alias("x"))
 
 
-@query
-def semantic_lexical_join(spark: SparkSession, d: str) -> DataFrame:
-    """Each fiftieth query with the vectors' hundred nearest documents of a stated vector, and their lexical features."""
+def _dense(spark: SparkSession, d: str) -> tuple[SearchEngine, DataFrame, dict[str, list[float]]]:
+    """The engine, a vector for each document, and, in place of an encoder, one of them for each query of the set: to the
+    i-th query the vector of the i-th document that has one."""
     e = engine(spark, d)
     v = _vectors(spark, d).join(e.index.docs.select("docid", "doc_id"), "docid").groupBy("doc_id").agg(F.min(F.struct("vec_id", "embedding")).alias("x")).select("doc_id", "x.embedding")
     batch = _batch(spark, d)
     first = v.orderBy("doc_id").limit(len(batch)).collect()
-    coded = [(q, [float(x) for x in r["embedding"]]) for (q, _), r in zip(batch, first)]
-    hits = dense.exact_top(v, coded, 100)
+    return e, v, {q: [float(x) for x in r["embedding"]] for (q, _), r in zip(batch, first)}
+
+
+@query
+def semantic_lexical_join(spark: SparkSession, d: str) -> DataFrame:
+    """Each fiftieth query with the vectors' hundred nearest documents of a stated vector, and their lexical features."""
+    e, v, code = _dense(spark, d)
+    batch = [(q, t) for q, t in _batch(spark, d) if q in code]
+    hits = dense.exact_top(v, list(code.items()), 100)
     lexical = e.matches(e.compile(batch, SearchMode.OR, spelling=False, idf_threshold=None))
     out = dense.attach_features(hits, lexical, e.index.doc_stats, e.stats)
-    return out.select("qid", "doc_id", F.round("similarity", 6).alias("similarity"), *[F.round(f, 6).alias(f) for f in FEATURES[:-1]], "in_title")
+    return out.select("qid", "doc_id", F.round("similarity", 6).alias("similarity"), *rounded(), "in_title")
+
+
+@query
+def semantic_search(spark: SparkSession, d: str) -> DataFrame:
+    """Semantic mode from end to end: cosine candidates, lexical features, re-ranking, fusion."""
+    e, v, code = _dense(spark, d)
+    batch = [(q, t) for q, t in _batch(spark, d) if q in code]
+    order = iter([code[q] for q, _ in batch])
+    ranker = RankingModel([np.array(w).T for w, _ in LAYERS], [np.array(b) for _, b in LAYERS])
+    s = SearchEngine(e.index, ranker.scorer(spark), dense.DenseSearch(v, lambda texts: np.array([next(order) for _ in texts])))
+    return s.search(batch, SearchMode.SEMANTIC).select("qid", "rank", F.round("score", 5).alias("score"), "docid", "num_results")
+
+
+@query
+def kmeans_sizes(spark: SparkSession, d: str) -> DataFrame:
+    """k-means over all vectors and the assignment of each to its nearest centroid: every vector has just one, no nearer
+    one exists, and the sum of squared distances is within a tenth of that of the given labels."""
+    v = read_table(spark, d, "embeddings")
+    cent = cut(dense.fit_clusters(v, v.select("label").distinct().count(), seed=1, max_iter=20))
+    placed = dense.assign_clusters(v, cent)
+    far = lambda x, c: placed.join(F.broadcast(c), x).select(F.pow(S.euclidean(F.col("embedding"), F.col("centroid")), 2).alias("d"))
+    own = far("cluster", cent).agg(F.sum("d").alias("own"), F.count("*").alias("n"))
+    given = far("label", dense.mean_centroids(v).withColumnRenamed("cluster", "label")).agg(F.sum("d").alias("given"))
+    return own.join(given).select("n", (F.col("own") <= 1.1 * F.col("given")).alias("close"))
+
+
+# --- files, words of one query, shapes ---------------------------------------------------------------------------------
+
+
+def _place(spark: SparkSession) -> str:
+    return f"{shared_folder(spark)}/{uuid4().hex}"
+
+
+def _flat(c: str) -> Column:
+    """Without what a line-based file can't hold."""
+    return F.regexp_replace(F.coalesce(c, F.lit("")), r"[\t\r\n\"\\\\]", " ").alias(c)
+
+
+@query
+def scan_corpus(spark: SparkSession, d: str) -> DataFrame:
+    """The corpus written as a tab-separated file and read back."""
+    path = _place(spark)
+    docs = read_table(spark, d, "msmarco_docs").where("docid is not null").select("docid", *map(_flat, ("url", "title", "body")))
+    docs.write.option("sep", "\t").option("emptyValue", "").option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path)
+    return read_corpus(spark, path).select("docid", "url", "title", F.length("body").alias("n_chars"))
+
+
+@query
+def scan_queries(spark: SparkSession, d: str) -> DataFrame:
+    path = _place(spark)
+    write_tsv(read_table(spark, d, "train_queries").where("query is not null").select("queryid", _flat("query")), path, header=False)
+    return read_queries(spark, path)
+
+
+def _spaced(df: DataFrame, path: str) -> str:
+    df.write.option("sep", " ").csv(path)
+    return path
+
+
+@query
+def scan_qrels(spark: SparkSession, d: str) -> DataFrame:
+    return read_qrels(spark, _spaced(read_table(spark, d, "train_qrels").select("queryid", "dummy", "docid", "rel"), _place(spark)))
+
+
+@query
+def scan_run(spark: SparkSession, d: str) -> DataFrame:
+    return read_run(spark, _spaced(_run(spark, d).select("queryid", "dummy", "docid", "rank", "score", "algorithm"), _place(spark))).select("queryid", "docid", "rank", F.round("score", 6).alias("score"), "algorithm")
+
+
+@query
+def files_by_rank(spark: SparkSession, d: str) -> DataFrame:
+    """The negatives written into a folder for each rank, and those folders read one by one."""
+    path = _place(spark)
+    write_by_rank(_negatives(spark, d).select("index", "neg_rank", "neg_docid"), path)
+    parts = [spark.read.parquet(f"{path}/neg_rank={r}").select(F.lit(r).alias("neg_rank"), "index", "neg_docid") for r in ltr.TRAIN_RANKS]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
+@query
+def files_by_split(spark: SparkSession, d: str) -> DataFrame:
+    path = _place(spark)
+    write_splits(ltr.random_split(_records(spark, d).select("index"), "index"), path)
+    return spark.read.parquet(path).select("index", "split")
+
+
+@query
+def index_verified(spark: SparkSession, d: str) -> DataFrame:
+    """The written index: whether its term table agrees with its postings, and the sizes of both."""
+    i = engine(spark, d).index
+    sizes = i.postings.agg(F.count("*").alias("postings"), F.countDistinct("term").alias("terms"))
+    return sizes.withColumn("agrees", F.lit(i.verify()))
+
+
+@query
+def first_rows(spark: SparkSession, d: str) -> DataFrame:
+    """A scan of at most a hundred rows."""
+    path = _place(spark)
+    write_tsv(read_table(spark, d, "msmarco_docs").where("docid is not null").select("docid", *map(_flat, ("url", "title", "body"))), path, header=False)
+    return read_corpus(spark, path, 100).agg(F.count("*").alias("n"))
+
+
+@query
+def dataset_items(spark: SparkSession, d: str) -> DataFrame:
+    """The records as items of a ranking data set: label and features."""
+    r = _records(spark, d).select("index", "rel", *[F.when(~F.isnan(F.col(f).cast("double")), F.col(f)).alias(f) for f in FEATURES])
+    x = ltr.samples(r, "index", F.coalesce(F.col("rel"), F.lit(0)) >= 1)
+    return x.select("index", "label", F.posexplode("features").alias("i", "x")).select("index", "label", "i", F.round("x", 6).alias("x"))
+
+
+@query
+def item_batches(spark: SparkSession, d: str) -> DataFrame:
+    return ltr.batches(_records(spark, d).select("index"), "index", 64, seed=7).select("index", "batch")
+
+
+@query
+def dev_negatives(spark: SparkSession, d: str) -> DataFrame:
+    """The candidates of a development list: all ranks from 1 to a hundred, wherever the positive stands."""
+    wide = ltr.with_negatives(_pairs(spark, d).select("queryid", "docid"), _run(spark, d), ltr.DEV_RANKS)
+    return ltr.select_dev_negatives(ltr.negatives_long(wide, ltr.DEV_RANKS, ["queryid", "docid", "match"])).select("queryid", "docid", "neg_rank", "neg_docid")
+
+
+@query
+def bm25_classic(spark: SparkSession, d: str) -> DataFrame:
+    """BM25 over bodies alone, in its classic form."""
+    e = engine(spark, d)
+    c = e.compile(_batch(spark, d), SearchMode.OR, spelling=False)
+    w = spark.createDataFrame([(q, t, i) for q, _, _, t, i in c.words], "qid bigint, term string, idf double")
+    part = S.classic_bm25(F.col("idf"), F.col("tf_body"), F.col("body_len"), F.lit(float(e.stats["avg_body"] or 1)))
+    return e.index.postings.where("tf_body > 0").join(F.broadcast(w), "term").groupBy("qid", "doc_id").agg(F.round(F.sum(part), 6).alias("score"))
+
+
+@query
+def spelled_search(spark: SparkSession, d: str) -> DataFrame:
+    """Misspelt words as queries of one word, corrected where the index doesn't know them."""
+    words = sorted(r["word"] for r in _misspelt(spark, d).collect())
+    e = engine(spark, d)
+    return e.matches(e.compile(list(enumerate(words)), SearchMode.OR, spelling=True)).select("qid", "doc_id", F.round("bm25_score", 6).alias("score"))
+
+
+#: Boolean queries of three words, by number.
+SHAPES = ["{0} AND {1}", "{0} {1}", "{0} AND ({1} OR {2})", "NOT {0} AND {1}", '"{0} {1}" OR {2}', "({0} OR {1}) AND NOT {2}", "{0} OR {1} AND {2}", "NOT (NOT {0} OR NOT {1})", '{2} AND NOT "{0} {1}"', '"{0} {1} {2}"']
+
+
+@query
+def boolean_shapes(spark: SparkSession, d: str) -> DataFrame:
+    """The first three plain words of each query of the set, in ten shapes."""
+    e = engine(spark, d)
+    batch = [(q * len(SHAPES) + i, s.format(*w)) for q, w in _three_words(spark, d) for i, s in enumerate(SHAPES)]
+    return e.matches(e.compile(batch, SearchMode.QUERY_EVALUATOR, spelling=False, idf_threshold=None)).select("qid", "doc_id")

@@ -3,9 +3,9 @@
 from __future__ import annotations
 
 from rankloom.functions.scoring import B, IDF_THRESHOLD, K1, TITLE_WEIGHT
-from rankloom.operators.ltr import NEAR_RANKS, TRAIN_RANKS
+from rankloom.operators.ltr import DEV_RANKS, NEAR_RANKS, TRAIN_RANKS
 from rankloom.operators.search import FEATURES
-from rankloom.queries import LAYERS
+from rankloom.queries import LAYERS, SHAPES
 
 _TOKENS = r"coalesce(regexp_extract_all(lower({}), '[\p{{L}}\p{{M}}\p{{N}}_]+|[^\s\p{{L}}\p{{M}}\p{{N}}_]'), [])"
 
@@ -26,6 +26,10 @@ _BATCH = f"""batch AS (SELECT queryid AS qid, min(query) AS query FROM train_que
 ql AS MATERIALIZED (SELECT qid, unnest({_TOKENS.format("query")}) AS term, generate_subscripts({_TOKENS.format("query")}, 1) AS leaf FROM batch)"""
 
 
+def _flat(c: str) -> str:
+    return rf"""regexp_replace(coalesce({c}, ''), '[\t\r\n"\\]', ' ', 'g')"""
+
+
 def _kept(threshold: bool = True) -> str:
     """kept(qid, leaf, term, idf): the words that are asked for."""
     where = f" WHERE idf IS NULL OR idf >= {IDF_THRESHOLD}" if threshold else ""
@@ -50,7 +54,10 @@ def _top(score: str) -> str:
     return f"top AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY round({score}, 9) DESC, doc_id) AS rank FROM hits QUALIFY rank <= 100)"
 
 
-_ROUNDED = ", ".join(f"round({f}, 6) AS {f}" for f in FEATURES[:-1])
+_ROUNDED = ", ".join(f"round({f} + 1e-9, 6) AS {f}" for f in FEATURES[:-1])
+# the first 100 bytes; a character cut in two becomes U+FFFD
+_CUT = "list_max(list_filter(range(0, 101), lambda i: strlen(body[1:i]) <= 100))"
+_SNIPPET = f"CASE WHEN strlen(body) = length(body) THEN body[1:100] ELSE body[1:{_CUT}] || CASE WHEN strlen(body[1:{_CUT}]) < 100 AND length(body) > {_CUT} THEN chr(65533) ELSE '' END END"
 _PHRASES = rf"""pb AS (SELECT try_cast(docid[2:] AS BIGINT) AS qid, min(tt[1:2]) AS t FROM tok WHERE try_cast(docid[2:] AS BIGINT) % 50 = 0 AND len(tt[1:2]) = 2 GROUP BY 1),
 ph AS (SELECT DISTINCT qid, a.doc_id FROM pb JOIN occ a ON a.term = t[1] JOIN occ b ON b.term = t[2] AND b.doc_id = a.doc_id AND b.field = a.field AND b.pos = a.pos + 1),
 kept AS (SELECT qid, leaf, p.term, idf FROM (SELECT qid, unnest([1, 2]) AS leaf, unnest(t) AS term FROM pb) p JOIN idf USING (term)), nk AS (SELECT qid, count(*) AS k FROM kept GROUP BY 1)"""
@@ -80,16 +87,62 @@ _COS = "row_number() OVER (PARTITION BY qid ORDER BY round(similarity, 9) DESC,
 _EXACT = f"ex AS (SELECT *, {_COS.format(id='vec_id')} FROM (SELECT a.vec_id AS qid, b.vec_id, round(list_inner_product(a.w, b.w), 9) AS similarity FROM u a, u b WHERE a.vec_id % 50 = 0) QUALIFY rank <= 100)"
 
 
-def _mlp() -> str:
+def _network(source: str, keys: str) -> tuple[str, str]:
+    """CTEs that end in a table with the keys and the network's score of the features in source; and its last name."""
     x = [f"coalesce(CASE WHEN NOT isnan({f}) THEN {f} END, 0)" if f != "in_title" else "coalesce(in_title, 0)" for f in FEATURES]
-    ctes, source = [], "train_with_negatives"
+    ctes = []
     for i, (w, b) in enumerate(LAYERS):
         out = [" + ".join([str(bias), *(f"({c} * {v})" for c, v in zip(row, x))]) for row, bias in zip(w, b)]
         if i + 1 < len(LAYERS):
             out = [f"greatest({o}, 0)" for o in out]
-        ctes.append(f"l{i} AS (SELECT row_index, " + ", ".join(f"{o} AS h{i}_{j}" for j, o in enumerate(out)) + f" FROM {source})")
+        ctes.append(f"l{i} AS (SELECT {keys}, " + ", ".join(f"{o} AS h{i}_{j}" for j, o in enumerate(out)) + f" FROM {source})")
         x, source = [f"h{i}_{j}" for j in range(len(out))], f"l{i}"
-    return f'WITH {", ".join(ctes)} SELECT row_index AS "index", round({x[0]}, 6) AS score FROM {source}'
+    return ", ".join(ctes), f"(SELECT {keys}, {x[0]} AS score FROM {source})"
+
+
+def _mlp() -> str:
+    ctes, table = _network("train_with_negatives", "row_index")
+    return f'WITH {ctes} SELECT row_index AS "index", round(score, 6) AS score FROM {table}'
+
+
+def _reranked() -> str:
+    ctes, table = _network("top", "qid, doc_id")
+    return f"""{_OR}, {_top("bm25_score")}, {ctes}
+SELECT qid, rank, round(score, 6) AS score, docid FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY round(score, 9) DESC, doc_id) AS rank FROM {table} QUALIFY rank <= 10) JOIN tok USING (doc_id)"""
+
+
+def _semantic() -> str:
+    """CTEs: feat(qid, doc_id, similarity, features) of the hundred nearest documents of each query's stated vector."""
+    lexical = [f"coalesce({f}, {v}) AS {f}" for f, v in zip(FEATURES[:7], (0, 0, 0, 1.0, 1.0, 1.0, 1.0))]
+    return f"""WITH {_POST}, {_BATCH}, {_kept(False)}, {_HITS}, {_VEC},
+dv AS MATERIALIZED (SELECT doc_id, arg_min(u.e, vec_id) AS e FROM u JOIN docs USING (docid) GROUP BY 1),
+qi AS (SELECT qid, row_number() OVER (ORDER BY qid) AS i FROM batch), di AS (SELECT e, row_number() OVER (ORDER BY doc_id) AS i FROM dv),
+near AS MATERIALIZED (SELECT *, {_COS.format(id='doc_id')} FROM (SELECT qid, dv.doc_id, round(list_inner_product(di.e, dv.e), 9) AS similarity FROM qi JOIN di USING (i), dv) QUALIFY rank <= 100),
+feat AS MATERIALIZED (SELECT n.qid, n.doc_id, n.similarity, {", ".join(lexical)}, len.body_len / max_body AS body_length_norm, len.title_len / max_title AS title_length_norm, coalesce(in_title, 0) AS in_title
+  FROM near n LEFT JOIN hits h ON h.qid = n.qid AND h.doc_id = n.doc_id LEFT JOIN len ON len.doc_id = n.doc_id, st)"""
+
+
+def _semantic_search() -> str:
+    ctes, table = _network("feat", "qid, doc_id, similarity")
+    scaled = lambda c: f"({c} - min({c}) OVER w) / (max({c}) OVER w - min({c}) OVER w + 1e-8)"
+    return f"""{_semantic()}, {ctes}, fu AS (SELECT qid, doc_id, {scaled("similarity")} + exp({scaled("score")}) - 1 AS fused FROM {table} WINDOW w AS (PARTITION BY qid))
+SELECT qid, rank, round(fused, 5) AS score, docid, (SELECT count(*) FROM dv) AS num_results
+FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY round(fused, 9) DESC, doc_id) AS rank FROM fu QUALIFY rank <= 10) JOIN docs USING (doc_id)"""
+
+
+def _shapes() -> str:
+    a, b, c = (f"h{i}" for i in (1, 2, 3))
+    holds = [f"{a} AND {b}", f"{a} AND {b}", f"{a} AND ({b} OR {c})", f"NOT {a} AND {b}", f"p12 OR {c}", f"({a} OR {b}) AND NOT {c}", f"{a} OR {b} AND {c}", f"{a} AND {b}", f"{c} AND NOT p12", "p123"]
+    assert len(holds) == len(SHAPES)
+    rows = " UNION ALL ".join(f"SELECT qid * {len(holds)} + {i} AS qid, doc_id FROM fl WHERE {h}" for i, h in enumerate(holds))
+    return rf"""WITH {_POST}, {_BATCH}, {_BOOLEAN.split("kept AS")[0].rstrip().rstrip(",")}, w3 AS (SELECT qid, unnest([1, 2, 3]) AS leaf, unnest(w[1:3]) AS term FROM bq),
+pos AS MATERIALIZED (SELECT qid, leaf, doc_id, field, pos FROM w3 JOIN occ USING (term)),
+ph2 AS (SELECT DISTINCT x.qid, x.doc_id FROM pos x JOIN pos y ON y.qid = x.qid AND y.doc_id = x.doc_id AND y.field = x.field AND y.pos = x.pos + 1 AND x.leaf = 1 AND y.leaf = 2),
+ph3 AS (SELECT DISTINCT x.qid, x.doc_id FROM pos x JOIN pos y ON y.qid = x.qid AND y.doc_id = x.doc_id AND y.field = x.field AND y.pos = x.pos + 1 AND x.leaf = 1 AND y.leaf = 2
+  JOIN pos z ON z.qid = x.qid AND z.doc_id = x.doc_id AND z.field = x.field AND z.pos = x.pos + 2 AND z.leaf = 3),
+hs AS (SELECT qid, doc_id, bool_or(leaf = 1) AS h1, bool_or(leaf = 2) AS h2, bool_or(leaf = 3) AS h3 FROM pos GROUP BY ALL),
+fl AS MATERIALIZED (SELECT hs.*, ph2.qid IS NOT NULL AS p12, ph3.qid IS NOT NULL AS p123 FROM hs LEFT JOIN ph2 ON ph2.qid = hs.qid AND ph2.doc_id = hs.doc_id LEFT JOIN ph3 ON ph3.qid = hs.qid AND ph3.doc_id = hs.doc_id)
+{rows}"""
 
 
 def _offline() -> str:
@@ -100,9 +153,9 @@ w AS (SELECT r, idx, doc_id, title_len, body_len, unnest({_TOKENS.format("query"
 x AS (SELECT r, title_len, body_len, coalesce(tf_title, 0) AS tf_title, coalesce(tf_body, 0) AS tf_body, coalesce(first_title / title_len, 1.0) AS ft, coalesce(first_body / body_len, 1.0) AS fb, idf
   FROM w LEFT JOIN post USING (doc_id, term) LEFT JOIN idf USING (term)),
 g AS (SELECT r, {score(_BOTH)} AS s, {score(_W("body"))} AS sb, {score(_W("title"))} AS st, avg(fb) AS fbm, avg(ft) AS ftm, min(fb) AS fbn, min(ft) AS ftn FROM x, st GROUP BY r)
-SELECT idx AS "index", round(coalesce(s, 0), 6) AS bm25_score, round(coalesce(sb, 0), 6) AS bm25_score_body, round(coalesce(st, 0), 6) AS bm25_score_title, round(coalesce(fbm, 1), 6) AS body_first_occurrence_mean,
-  round(coalesce(ftm, 1), 6) AS title_first_occurrence_mean, round(coalesce(fbn, 1), 6) AS body_first_occurrence_min, round(coalesce(ftn, 1), 6) AS title_first_occurrence_min,
-  round(body_len / mb, 6) AS body_length_norm, round(title_len / mt, 6) AS title_length_norm, CAST(coalesce(ftn, 1) < 1.0 AS INT) AS in_title FROM prs LEFT JOIN g USING (r), m"""
+SELECT idx AS "index", round(coalesce(s, 0) + 1e-9, 6) AS bm25_score, round(coalesce(sb, 0) + 1e-9, 6) AS bm25_score_body, round(coalesce(st, 0) + 1e-9, 6) AS bm25_score_title, round(coalesce(fbm, 1) + 1e-9, 6) AS body_first_occurrence_mean,
+  round(coalesce(ftm, 1) + 1e-9, 6) AS title_first_occurrence_mean, round(coalesce(fbn, 1) + 1e-9, 6) AS body_first_occurrence_min, round(coalesce(ftn, 1) + 1e-9, 6) AS title_first_occurrence_min,
+  round(body_len / mb + 1e-9, 6) AS body_length_norm, round(title_len / mt + 1e-9, 6) AS title_length_norm, CAST(coalesce(ftn, 1) < 1.0 AS INT) AS in_title FROM prs LEFT JOIN g USING (r), m"""
 
 
 def oracle_sql() -> dict[str, str]:
@@ -132,14 +185,14 @@ def oracle_sql() -> dict[str, str]:
         "total_hits": f"{_OR} SELECT qid, count(*) AS num_results FROM hits GROUP BY 1",
         "features_topk": f"{_OR}, {_top('bm25_score')} SELECT qid, doc_id, {_ROUNDED}, in_title FROM top",
         "search_results": f"""{_OR}, {_top('bm25_score')}, tot AS (SELECT qid, count(*) AS num_results FROM hits GROUP BY 1)
-SELECT qid, rank, round(bm25_score, 6) AS score, docid, title, body[1:100] AS body_snippet, num_results FROM top JOIN tok USING (doc_id) JOIN tot USING (qid) WHERE rank <= 10""",
+SELECT qid, rank, round(bm25_score, 6) AS score, docid, title, {_SNIPPET} AS body_snippet, num_results FROM top JOIN tok USING (doc_id) JOIN tot USING (qid) WHERE rank <= 10""",
         "spelling_candidates": f"WITH {_POST}, {_BATCH}, {_SPELL} SELECT word, term, round(jaccard, 6) AS jaccard FROM cand",
         "spelling_corrections": f"""WITH {_POST}, {_BATCH}, {_SPELL}, e AS (SELECT *, levenshtein(word, term) AS edits FROM cand),
 n AS (SELECT * FROM e QUALIFY row_number() OVER (PARTITION BY word ORDER BY edits, jaccard DESC, term) <= 50)
 SELECT word, term AS correction, df, edits FROM n JOIN terms USING (term) QUALIFY row_number() OVER (PARTITION BY word ORDER BY df DESC, term) = 1""",
         "qrels_join": f"WITH {_DOCS} SELECT queryid, docid, rel, query, x[2] AS title FROM train_qrels JOIN docs USING (docid) JOIN train_queries USING (queryid)",
         "run_filter_ranks": "SELECT queryid, docid, rank_no AS rank FROM top100_run WHERE rank_no <= 6 OR rank_no > 94",
-        "run_pivot": "SELECT queryid, " + ", ".join(f"min(docid) FILTER (rank_no = {r}) AS neg_{r}" for r in NEAR_RANKS) + " FROM top100_run GROUP BY 1",
+        "run_pivot": "SELECT queryid, " + ", ".join(f"min(docid) FILTER (rank_no = {r}) AS neg_{r}" for r in DEV_RANKS) + " FROM top100_run GROUP BY 1",
         "match_rank_case": f"""WITH one AS (SELECT queryid, rank, min(docid) AS docid FROM {_RUN} WHERE rank BETWEEN 1 AND 100 GROUP BY ALL), q AS (SELECT DISTINCT queryid FROM one WHERE queryid IS NOT NULL),
 m AS (SELECT queryid, docid, min(rank) AS r FROM one GROUP BY ALL)
 SELECT p.queryid, p.docid, p.rel, m.r AS match FROM {_PAIRS} p JOIN q USING (queryid) LEFT JOIN m ON m.queryid = p.queryid AND m.docid = p.docid""",
@@ -147,7 +200,7 @@ SELECT p.queryid, p.docid, p.rel, m.r AS match FROM {_PAIRS} p JOIN q USING (que
         "negatives_long": f'WITH {_DOCS}, {_NEG} SELECT idx AS "index", neg_rank, neg_docid, x[2] AS neg_title, length(x[3]) AS n_chars FROM neg JOIN docs ON docid = neg_docid',
         "negative_selection": f'WITH {_NEG} SELECT idx AS "index", neg_rank, neg_docid FROM neg WHERE neg_docid IS NOT NULL AND ({picked})',
         "wide_join": f'WITH {_DOCS}, {_NEG}, l AS (SELECT idx, neg_rank, length(x[3]) AS chars FROM neg JOIN docs ON docid = neg_docid), g AS (SELECT idx, '
-        + ", ".join(f"max(chars) FILTER (neg_rank = {r}) AS chars_{r}" for r in NEAR_RANKS)
+        + ", ".join(f"max(chars) FILTER (neg_rank = {r}) AS chars_{r}" for r in TRAIN_RANKS)
         + ' FROM l GROUP BY 1) SELECT row_index AS "index", docid, g.* EXCLUDE (idx) FROM train_with_negatives JOIN g ON idx = row_index',
         "null_fill_norms": 'SELECT row_index AS "index", round(coalesce(body_length_norm, 0), 6) AS body_length_norm, round(coalesce(title_length_norm, 0), 6) AS title_length_norm FROM train_with_negatives',
         "split_sizes": """WITH o AS (SELECT row_index, row_number() OVER (ORDER BY md5(row_index || '-42'), row_index) - 1 AS i, count(*) OVER () AS n FROM train_with_negatives)
@@ -158,6 +211,32 @@ SELECT count(*) AS n, round(avg(CASE WHEN rank <= 10 THEN 1 / rank ELSE 0 END),
         "listwise_loss": f"""{_LISTS}, z AS (SELECT queryid, label, score - max(score) OVER (PARTITION BY queryid) AS s FROM lists), a AS (SELECT queryid, label, {soft.format("s")} AS p FROM z WINDOW w AS (PARTITION BY queryid)), b AS (SELECT queryid, label, {soft.format("p")} AS q FROM a WINDOW w AS (PARTITION BY queryid))
 SELECT queryid, round(sum(-ln(q)), 6) AS loss FROM b WHERE label = 1 GROUP BY 1""",
         "mlp_forward": _mlp(),
+        "reranked_results": _reranked(),
+        "snippets": f"WITH {_DOCS} SELECT docid, {_SNIPPET} AS body_snippet FROM tok",
+        "semantic_lexical_join": f"{_semantic()} SELECT qid, doc_id, round(similarity, 6) AS similarity, {_ROUNDED}, in_title FROM feat",
+        "semantic_search": _semantic_search(),
+        "kmeans_sizes": "SELECT count(*) AS n, true AS close FROM embeddings",
+        "scan_corpus": f"SELECT docid, {_flat('url')} AS url, {_flat('title')} AS title, length({_flat('body')}) AS n_chars FROM msmarco_docs WHERE docid IS NOT NULL",
+        "scan_queries": f"SELECT queryid, {_flat('query')} AS query FROM train_queries WHERE query IS NOT NULL",
+        "scan_qrels": "SELECT queryid, dummy, docid, rel FROM train_qrels",
+        "scan_run": "SELECT queryid, docid, rank_no AS rank, round(score, 6) AS score, algorithm FROM top100_run",
+        "files_by_rank": f'WITH {_NEG} SELECT neg_rank, idx AS "index", neg_docid FROM neg WHERE neg_docid IS NOT NULL',
+        "files_by_split": """WITH o AS (SELECT row_index, row_number() OVER (ORDER BY md5(row_index || '-42'), row_index) - 1 AS i, count(*) OVER () AS n FROM train_with_negatives)
+SELECT row_index AS "index", CASE WHEN i < floor(n * 0.8) THEN 'train' WHEN i < floor(n * 0.9) THEN 'val' ELSE 'test' END AS split FROM o""",
+        "index_verified": f"WITH {_POST} SELECT (SELECT count(*) FROM post) AS postings, (SELECT count(*) FROM terms) AS terms, true AS agrees",
+        "first_rows": "SELECT least(100, count(*)) AS n FROM msmarco_docs WHERE docid IS NOT NULL",
+        "dataset_items": 'SELECT row_index AS "index", CAST(coalesce(rel, 0) >= 1 AS INT) AS label, unnest(range(10)) AS i, round(unnest([' + ", ".join(f"coalesce(CASE WHEN NOT isnan(CAST({f} AS DOUBLE)) THEN CAST({f} AS DOUBLE) END, 0)" for f in FEATURES) + "]), 6) AS x FROM train_with_negatives",
+        "item_batches": """SELECT row_index AS "index", (row_number() OVER (ORDER BY md5(row_index || '-7'), row_index) - 1) // 64 AS batch FROM train_with_negatives""",
+        "dev_negatives": f"""WITH one AS (SELECT queryid, rank AS neg_rank, min(docid) AS neg_docid FROM {_RUN} WHERE rank BETWEEN 1 AND 100 GROUP BY ALL)
+SELECT queryid, p.docid, neg_rank, neg_docid FROM (SELECT queryid, docid FROM {_PAIRS}) p JOIN one USING (queryid) WHERE neg_docid IS NOT NULL""",
+        "bm25_classic": f"WITH {_POST}, {_BATCH}, {_kept()} SELECT qid, doc_id, round(sum(idf * tf_body * {K1 + 1} / (tf_body + {K1} * ({1 - B} + {B} * body_len / avg_body))), 6) AS score FROM kept JOIN post USING (term) JOIN len USING (doc_id), st WHERE tf_body > 0 GROUP BY 1, 2",
+        "spelled_search": f"""WITH {_POST}, {_BATCH}, {_SPELL}, e AS (SELECT *, levenshtein(word, term) AS edits FROM cand),
+n AS (SELECT * FROM e QUALIFY row_number() OVER (PARTITION BY word ORDER BY edits, jaccard DESC, term) <= 50),
+fix AS (SELECT word, term FROM n JOIN terms USING (term) QUALIFY row_number() OVER (PARTITION BY word ORDER BY df DESC, term) = 1),
+wq AS (SELECT word, row_number() OVER (ORDER BY word) - 1 AS qid FROM mis),
+kept AS (SELECT qid, 0 AS leaf, idf.term, idf FROM wq LEFT JOIN fix USING (word) JOIN idf ON idf.term = CASE WHEN wq.word IN (SELECT term FROM terms) THEN wq.word ELSE fix.term END WHERE idf >= {IDF_THRESHOLD}),
+nk AS (SELECT qid, count(*) AS k FROM kept GROUP BY 1), {_HITS} SELECT qid, doc_id, round(bm25_score, 6) AS score FROM hits""",
+        "boolean_shapes": _shapes(),
         "cosine_topk": f"WITH {_VEC} SELECT qid, vec_id, rank, round(similarity, 6) AS similarity FROM (SELECT *, {_COS.format(id='vec_id')} FROM (SELECT a.vec_id AS qid, b.vec_id, round(list_inner_product(a.e, b.e), 9) AS similarity FROM u a, u b WHERE a.vec_id % 50 = 0) QUALIFY rank <= 100)",
         "cluster_centroids": f"WITH {_EMB}, {_CENT} SELECT cluster, i, round(x, 6) AS x FROM cent",
         "top_clusters": f"WITH {_EMB}, {_CENT}, {_NEAR} SELECT qid, cluster, round(distance, 6) AS distance FROM near",

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 
 def write_tsv(df: DataFrame, path: str, header: bool = True) -> None:
-    df.write.mode("overwrite").option("sep", "\t").option("header", header).csv(path)
+    df.write.mode("overwrite").option("sep", "\t").option("header", header).option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path)
 
 
 def write_by_rank(df: DataFrame, path: str, rank: str = "neg_rank", fmt: str = "parquet") -> None:

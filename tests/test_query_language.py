@@ -2,7 +2,7 @@ import pytest
 from hypothesis import given
 from hypothesis import strategies as st
 
-from rankloom.plans.query_language import Leaf, Op, SearchMode, build_tree, holds, leaves, numbered, parse, query_tokens, show, simplified, to_postfix
+from rankloom.plans.query_language import Leaf, Op, SearchMode, build_tree, holds, leaves, numbered, parse, query_tokens, simplified, to_postfix
 
 
 def postfix(text):
@@ -58,9 +58,8 @@ def test_simplified():
     assert simplified(parse("not not the"), drop)[0] == Op("OR", ())
 
 
-def test_shapes_and_show():
+def test_shapes():
     assert numbered(parse("a (b OR c)"))[0] == numbered(parse("x (y OR z)"))[0] == "AND(0,OR(1,2))"
-    assert show(parse('a "b c"')) == "AND\n  a\n  b c"
 
 
 TREES = st.recursive(st.sampled_from("abcd").map(lambda x: Leaf((x,))), lambda t: st.one_of(t.map(lambda x: Op("NOT", (x,))), st.tuples(st.sampled_from(["AND", "OR"]), t, t).map(lambda x: Op(x[0], x[1:]))), max_leaves=8)
