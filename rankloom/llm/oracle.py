@@ -81,12 +81,38 @@ p AS (SELECT field, record_key, term, df, cf / total AS pc, (tf + 500.0 * (cf /
 SELECT field, record_key, term, round(pd * ln(pd / pc), 6) + 0.0 AS score FROM p"""
 
 
+_CLASSES = f"""{_SETS},
+pr AS MATERIALIZED (SELECT docid_a, docid_b, k = x.n AND k = y.n AS same, k / (x.n + y.n - k) AS sim FROM common JOIN n x ON x.docid = docid_a JOIN n y ON y.docid = docid_b WHERE k / (x.n + y.n - k) >= 0.7),
+cls AS MATERIALIZED (SELECT n.docid, coalesce(min(docid_a), n.docid) AS class_id FROM n LEFT JOIN pr ON docid_b = n.docid AND same GROUP BY n.docid),
+size AS (SELECT class_id, count(*) AS size FROM cls GROUP BY 1),
+link AS MATERIALIZED (SELECT DISTINCT a.class_id AS x, b.class_id AS y, sim FROM (SELECT docid_a, docid_b, sim FROM pr UNION ALL SELECT docid_b, docid_a, sim FROM pr) p
+  JOIN cls a ON a.docid = p.docid_a JOIN cls b ON b.docid = p.docid_b WHERE a.class_id <> b.class_id)"""
+
+_NEAR_GROUPS = f"""WITH RECURSIVE {_CLASSES},
+reach(x, root) AS (SELECT class_id, class_id FROM size UNION SELECT link.y, reach.root FROM reach JOIN link ON link.x = reach.x WHERE reach.root < link.y),
+grp AS (SELECT x, min(root) AS group_id FROM reach GROUP BY 1), deg AS (SELECT x, count(*) AS links FROM link GROUP BY 1)
+SELECT docid, class_id, group_id, coalesce(links, 0) AS links FROM cls JOIN grp ON grp.x = class_id LEFT JOIN deg ON deg.x = class_id"""
+
+_NEAR_CLASSES = f"""WITH {_CLASSES}
+SELECT x AS class_a, y AS class_b, a.size AS size_a, b.size AS size_b, round(sim, 6) AS similarity FROM link JOIN size a ON a.class_id = x JOIN size b ON b.class_id = y WHERE x < y
+UNION ALL SELECT class_id, class_id, size, size, 1.0 FROM size WHERE size > 1"""
+
+_OVERLAP_CLASSES = f"""WITH {_RECORDS}, t AS (SELECT DISTINCT row_index, d, queryid, q FROM r WHERE split = 'train'), h AS (SELECT DISTINCT row_index, d, queryid, q FROM r WHERE split IN ('val', 'test')),
+ti AS (SELECT d, CAST(queryid AS VARCHAR) AS k, count(*) AS n FROM t WHERE d IS NOT NULL AND queryid IS NOT NULL GROUP BY ALL), hi AS (SELECT d, CAST(queryid AS VARCHAR) AS k, count(*) AS n FROM h WHERE d IS NOT NULL AND queryid IS NOT NULL GROUP BY ALL),
+tt AS (SELECT d, q AS k, count(*) AS n FROM t WHERE d IS NOT NULL AND q <> '' GROUP BY ALL), ht AS (SELECT d, q AS k, count(*) AS n FROM h WHERE d IS NOT NULL AND q <> '' GROUP BY ALL)
+SELECT d AS docid, 'id' AS kind, k AS train_key, k AS held_key, ti.n AS train_records, hi.n AS held_records FROM ti JOIN hi USING (d, k)
+UNION ALL SELECT tt.d, CASE WHEN tt.k = ht.k THEN 'text' ELSE 'near' END, tt.k, ht.k, tt.n, ht.n FROM tt JOIN ht ON tt.d = ht.d
+WHERE tt.k = ht.k OR list_sort(string_split(tt.k, ' ')) = list_sort(string_split(ht.k, ' ')) OR levenshtein(tt.k, ht.k) <= least(3, greatest(length(tt.k), length(ht.k)) // 5)"""
+
+
 def oracle_sql() -> dict[str, str]:
     return {
         "p1_found": _GROUPS,
+        "p1_balance": "SELECT DISTINCT split_name, true AS near, CAST(0 AS BIGINT) AS groups_apart FROM split_plan",
         "p2_order": _order(),
         "p3_found": _P3 + "SELECT DISTINCT least(tr, hr) AS row_index_a, greatest(tr, hr) AS row_index_b FROM o",
         "p3_counts": _P3 + "SELECT split, source, count(DISTINCT hr) AS records, count(DISTINCT (tr, hr)) AS pairs FROM o GROUP BY 1, 2",
+        "p3_classes": _OVERLAP_CLASSES,
         "p4_found": f"WITH {_COLLECTION} SELECT 'body' AS field, record_key, term FROM bt JOIN s USING (term) WHERE tf >= 3 AND df <= 3 UNION SELECT 'query', record_key, term FROM qt JOIN s USING (term) WHERE df <= 3",
         "p4_scores": _SCORES,
         "p4_shared": f"{_SCORES} WHERE df >= 3",
@@ -95,4 +121,7 @@ def oracle_sql() -> dict[str, str]:
         "p6_found": _NEAREST + "SELECT DISTINCT least(vec_id, neighbour) AS vec_id_a, greatest(vec_id, neighbour) AS vec_id_b FROM k",
         "p6_nearest": _NEAREST + "SELECT vec_id, neighbour, similarity FROM k",
         "p7_found": f"WITH {_SETS} SELECT docid_a, docid_b FROM common JOIN n x ON x.docid = docid_a JOIN n y ON y.docid = docid_b WHERE k / (x.n + y.n - k) >= 0.7",
+        "p7_groups": _NEAR_GROUPS,
+        "p7_classes": _NEAR_CLASSES,
+        "p9_fill": "SELECT count(*) AS texts, CAST(0 AS BIGINT) AS tokens_lost, CAST(0 AS BIGINT) AS cut_in_vain, CAST(0 AS BIGINT) AS overfull, true AS \"full\" FROM documents WHERE text <> ''",
     }
