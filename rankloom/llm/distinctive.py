@@ -48,7 +48,7 @@ def term_scores(
 
     The collection's texts are split into words once: the counts of each record are written, and both the collection's
     counts and the scores come from them."""
-    own = cut(record_terms(collection.select(F.col(key).cast("string").alias("record_key"), F.col(text).alias("_t")), "record_key", ["_t"]))
+    own = cut(record_terms(collection.select(F.col(key).cast("string").alias("record_key"), F.col(text).alias("_t")), "record_key", ["_t"], length=True))
     stats = cut(own.groupBy("term").agg(F.sum("tf").alias("cf"), F.count("*").alias("df")))
     total = float(stats.agg(F.sum("cf")).first()[0] or 1)
     known = stats.where(F.col("df") >= min_df)

@@ -8,14 +8,15 @@ from pyspark.sql import functions as F
 from rankloom.llm.common import gathered_by_key, words
 
 
-def record_terms(df: DataFrame, key: str, texts: list[str]) -> DataFrame:
-    """(key, length, term, tf): how often each word occurs in the texts of a record of `length` words, one record for each
-    non-null key.
+def record_terms(df: DataFrame, key: str, texts: list[str], length: bool = False) -> DataFrame:
+    """(key, term, tf), with `length` (key, length, term, tf): how often each word occurs in the texts of a record, and how
+    many words these have, one record for each non-null key.
 
     The one shuffle is that of the texts by key; counting within a record needs no other."""
     each = gathered_by_key(df, key, *texts)
     w = each.select(key, F.concat(*[words(F.col(c)) for c in texts]).alias("_w"))
-    return w.select(key, F.size("_w").alias("length"), F.explode("_w").alias("term")).groupBy(key, "length", "term").agg(F.count("*").alias("tf"))
+    size = [F.size("_w").alias("length")] if length else []
+    return w.select(key, *size, F.explode("_w").alias("term")).groupBy(key, *["length"][: len(size)], "term").agg(F.count("*").alias("tf"))
 
 
 def term_counts(df: DataFrame, key: str, texts: list[str]) -> DataFrame:
