@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from rankloom.functions import scoring as S
 from rankloom.functions.text import tokens
 from rankloom.operators.search import FEATURES
+from rankloom.session import cut
 
 # The ranks that the training data takes its negatives from.
 NEAR_RANKS = [1, 2, 3, 4, 5, 6]
@@ -95,18 +96,18 @@ def random_split(df: DataFrame, key: str, cuts: tuple[float, ...] = (0.8, 0.9),
 # --- offline features ------------------------------------------------------------------------------------------------
 
 
-def offline_features(pairs: DataFrame, terms: DataFrame, stats: dict[str, float], keep: list[str]) -> DataFrame:
-    """(keep..., ten features) of pairs(query, title, body), computed from the texts themselves.
+def offline_features(pairs: DataFrame, postings: DataFrame, doc_stats: DataFrame, terms: DataFrame, stats: dict[str, float], keep: list[str]) -> DataFrame:
+    """(keep..., ten features) of pairs(doc_id, query), from the index's tables.
 
     terms(term, idf); an unknown word has idf 0 and, like any word of idf 0, adds no score. Lengths are relative to the
-    longest of these pairs. Query words are exploded, looked up, and put together again under the row's number; texts
-    are tokenised once and don't travel with the words."""
-    p = number_rows(pairs.select(*keep, "query", "title", "body"), keep, "_row")
-    t = p.select("_row", tokens(F.col("query")).alias("q"), tokens(F.col("title")).alias("ti"), tokens(F.col("body")).alias("bo"))
-    count = lambda arr: F.size(F.filter(F.col(arr), lambda x: x == F.col("w")))
-    first = lambda arr: F.when(F.array_position(F.col(arr), F.col("w")) > 0, (F.array_position(F.col(arr), F.col("w")) - 1) / F.size(arr)).otherwise(F.lit(1.0))
-    w = t.select("_row", F.size("ti").alias("tl"), F.size("bo").alias("bl"), "ti", "bo", F.explode("q").alias("w"))
-    w = w.select("_row", "w", "tl", "bl", count("ti").alias("tt"), count("bo").alias("tb"), first("ti").alias("ft"), first("bo").alias("fb"))
+    longest document of these pairs. Query words are exploded and meet the postings by document and term, so no text
+    travels, none is split again, and a document that many pairs name is spread by their words."""
+    p = cut(number_rows(pairs.select(*keep, "doc_id", "query"), keep, "_row"))
+    first = lambda c, n: F.coalesce(F.get(F.col(c), 0) / F.col(n), F.lit(1.0))
+    found = postings.select("doc_id", F.col("term").alias("w"), F.col("tf_title").alias("tt"), F.col("tf_body").alias("tb"), first("pos_title", "title_len").alias("ft"), first("pos_body", "body_len").alias("fb"), F.col("title_len").alias("tl"), F.col("body_len").alias("bl"))
+    w = p.select("_row", "doc_id", F.explode(tokens(F.col("query"))).alias("w")).join(found, ["doc_id", "w"], "left")
+    # of a word that the document lacks nothing but its place in the mean counts
+    w = w.fillna(0, ["tt", "tb", "tl", "bl"]).fillna(1.0, ["ft", "fb"])
     w = w.join(terms.select(F.col("term").alias("w"), "idf"), "w", "left").withColumn("idf", F.coalesce("idf", F.lit(0.0)))
     wb = S.term_weight(F.col("tb"), F.col("bl"), F.lit(float(stats["avg_body"] or 0)))
     wt = S.term_weight(F.col("tt"), F.col("tl"), F.lit(float(stats["avg_title"] or 0)))
@@ -115,7 +116,7 @@ def offline_features(pairs: DataFrame, terms: DataFrame, stats: dict[str, float]
         F.sum(part(wb + S.TITLE_WEIGHT * wt)).alias(FEATURES[0]), F.sum(part(wb)).alias(FEATURES[1]), F.sum(part(wt)).alias(FEATURES[2]), F.avg("fb").alias(FEATURES[3]), F.avg("ft").alias(FEATURES[4]),
         F.min("fb").alias(FEATURES[5]), F.min("ft").alias(FEATURES[6]), F.max((F.col("ft") < 1.0).cast("int")).alias(FEATURES[9]),
     )
-    lengths = t.select("_row", F.size("ti").alias("tl"), F.size("bo").alias("bl"))
+    lengths = p.select("_row", "doc_id").join(doc_stats.select("doc_id", F.col("title_len").alias("tl"), F.col("body_len").alias("bl")), "doc_id").drop("doc_id")
     most = lengths.agg(F.max("tl"), F.max("bl")).first()
     share = lambda c, m: F.col(c) / F.lit(float(m)) if m else F.lit(0.0)
     out = p.select("_row", *keep).join(lengths, "_row").join(g, "_row", "left")

@@ -311,8 +311,8 @@ def split_sizes(spark: SparkSession, d: str) -> DataFrame:
 def offline_features(spark: SparkSession, d: str) -> DataFrame:
     e = engine(spark, d)
     r = read_table(spark, d, "train_with_negatives").select(F.col("row_index").alias("index"), "docid", "query")
-    pairs = r.join(e.index.docs.select("docid", "title", "body"), "docid")
-    out = ltr.offline_features(pairs, with_idf(e.index), e.stats, ["index"])
+    pairs = r.join(e.index.docs.select("docid", "doc_id"), "docid")
+    out = ltr.offline_features(pairs, e.index.postings, e.index.doc_stats, with_idf(e.index), e.stats, ["index"])
     return out.select("index", *rounded(), "in_title")
 
 

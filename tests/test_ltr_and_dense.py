@@ -80,9 +80,12 @@ def test_split_is_exact_and_stable(spark):
 
 
 def test_offline_features(spark):
-    pairs = spark.createDataFrame([(0, "fox zzz", "red fox", "the fox runs"), (1, None, None, None)], "i int, query string, title string, body string")
+    from rankloom.operators.index import build_index
+
+    i = build_index(spark.createDataFrame([("a", "u", "red fox", "the fox runs"), ("b", None, None, None)], "docid string, url string, title string, body string"))
+    pairs = spark.createDataFrame([(0, 0, "fox zzz"), (1, 1, None)], "i int, doc_id bigint, query string")
     terms = spark.createDataFrame([("fox", 1.5)], "term string, idf double")
-    r = {x["i"]: x for x in ltr.offline_features(pairs, terms, {"avg_body": 3.0, "avg_title": 2.0}, ["i"]).collect()}
+    r = {x["i"]: x for x in ltr.offline_features(pairs, i.postings, i.doc_stats, terms, {"avg_body": 3.0, "avg_title": 2.0}, ["i"]).collect()}
     w = 1 + 2.0
     assert r[0]["bm25_score"] == pytest.approx(1.5 * w * 2.6 / (w + 1.6))
     assert r[0]["body_first_occurrence_mean"] == pytest.approx((1 / 3 + 1) / 2) and r[0]["title_first_occurrence_min"] == 0.5
