@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rankloom.functions.text import runs_of, starts_of, term_runs, tokens, trigrams
-from rankloom.session import cut
+from rankloom.session import cut, discard, spread
 from rankloom.sources.readers import corpus, dense_index
 from rankloom.sources.writers import write_postings
 
@@ -106,7 +106,10 @@ def write_index(raw: DataFrame, path: str, doc_id: str | None = None, files: int
     """build_index() straight into tables below path, each made from those before it as written: texts are split into
     tokens once for the postings and once for the lengths, and nothing is computed again. Gives the index as loaded."""
     docs = _write(_numbered(raw, doc_id), f"{path}/docs", "docs")
-    postings = _write(postings_of(docs), f"{path}/postings", "postings", files)
+    docs = spread(docs)
+    found = cut(postings_of(docs))  # else sampling for the sort would make them twice
+    postings = _write(found, f"{path}/postings", "postings", files)
+    discard(found)
     lengths = _write(lengths_of(docs), f"{path}/doc_stats", "doc_stats")
     by_term = cut(postings.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf_body").alias("in_bodies")))
     _write(by_term.select("term", "df"), f"{path}/terms", "terms")
