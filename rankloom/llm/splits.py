@@ -42,7 +42,7 @@ def stratify(counts: np.ndarray, need: np.ndarray, outstanding: np.ndarray | Non
 
     The label with the fewest rows outstanding goes first, by `outstanding` where these groups are not all there are;
     its groups, largest first, go to the split that needs the label most, then to the one that needs most rows, then to
-    the first."""
+    the first; a split that has all its rows takes no more while another has not."""
     n, labels = counts.shape
     out = np.full(n, -1)
     left = (counts.sum(axis=0) if outstanding is None else outstanding).astype(float)
@@ -54,7 +54,7 @@ def stratify(counts: np.ndarray, need: np.ndarray, outstanding: np.ndarray | Non
         mine = np.flatnonzero(open_ & (counts[:, lab] > 0)) if live else np.flatnonzero(open_)
         mine = mine[np.lexsort((mine, -counts[mine, 0], -counts[mine, lab]))]
         for g in mine:
-            s = max(range(need.shape[0]), key=lambda x: (need[x, lab], need[x, 0], -x))
+            s = max(range(need.shape[0]), key=lambda x: (need[x, 0] > 0, need[x, lab], need[x, 0], -x))
             out[g] = s
             need[s] -= counts[g]
         open_[mine] = False
@@ -82,7 +82,8 @@ def grouped_split(
     its groups, largest first, to the split that needs it most. This is done twice over: once for the groups of more than
     1/heavy_share of all rows (fewer than heavy_share of them), on the driver, as they alone can move a share; then for
     all others, which fall by hash of their key into cells of about cell_groups groups, each cell being taken by itself
-    towards its part of what is still needed, in the same order of labels. Label columns of more than max_values
+    towards its part of what is still needed, in the same order of labels. Only groups of more than half of the smallest
+    split come before all others, the largest first, whatever their labels: no later group could make up for them. Label columns of more than max_values
     distinct values are hashed into max_values, and values that meet there are spread alike only together. Shares that don't add up to 1 are scaled. An empty table gives an empty result."""
     spark = df.sparkSession
     shares = sorted(((r["split_name"], float(r["share"] or 0)) for r in plan.select("split_name", "share").distinct().limit(1000).collect()), key=lambda x: (-x[1], x[0]))
@@ -109,13 +110,20 @@ def grouped_split(
         keys = sorted(heavy.group_key.unique())
         m = np.zeros((len(keys), len(order)))
         m[heavy.group_key.map({k: i for i, k in enumerate(keys)}), heavy.label.map(col)] = heavy.n
-        placed = [(k, names[i]) for k, i in zip(keys, stratify(m, need, np.array([totals[x] for x in order])))]
+        left = np.array([totals[x] for x in order], float)
+        where, giant = np.full(len(keys), -1), m[:, 0] > need[need[:, 0] > 0, 0].min() / 2
+        for g in sorted(np.flatnonzero(giant), key=lambda g: (-m[g, 0], g)):
+            where[g] = stratify(m[g : g + 1], need, left)[0]
+            left -= m[g]
+        where[~giant] = stratify(m[~giant], need, left)
+        placed = [(k, names[i]) for k, i in zip(keys, where)]
     heavy_out = spark.createDataFrame(placed or [("", "")], "group_key string, split string").where("group_key != ''")
     light = vec.join(heavy_keys, "group_key", "left_anti")
     sums = {r["label"]: r["n"] for r in light.groupBy("label").agg(F.sum("n").alias("n")).collect()}
     n_light = light.where(F.col("label") == "*").count()
     outstanding = np.array([sums.get(x, 0) for x in order], float)
-    want = np.maximum(need, 0) / np.maximum(outstanding, 1)
+    open_need = np.maximum(need, 0)
+    want = open_need / np.maximum(open_need.sum(axis=0), 1e-9)
 
     def cell(pdf: pd.DataFrame) -> pd.DataFrame:
         code, keys = pd.factorize(pdf.group_key, sort=True)
