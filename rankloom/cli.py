@@ -1,4 +1,5 @@
-"""Command line: `python -m rankloom.cli index CORPUS.tsv INDEX` and `python -m rankloom.cli search INDEX --mode OR`."""
+"""Command line: `python -m rankloom.cli index CORPUS.tsv INDEX`, `embed INDEX VECTORS`, `cluster VECTORS FOLDER`,
+`train ITEMS MODEL`, and `search INDEX --mode OR`."""
 
 from __future__ import annotations
 
@@ -9,11 +10,12 @@ from collections.abc import Iterable
 
 from pyspark.sql import SparkSession
 
-from rankloom.operators.dense import DenseSearch, hashing_encoder
+from rankloom.operators.dense import DenseSearch, assign_clusters, embed, fit_clusters, hashing_encoder
 from rankloom.operators.index import SearchIndex, write_index
-from rankloom.operators.ranker import RankingModel
+from rankloom.operators.ranker import RankingModel, collect_lists, metrics, train
 from rankloom.operators.search import SearchEngine
 from rankloom.plans.query_language import SearchMode
+from rankloom.session import cut
 from rankloom.sources.readers import read_corpus
 
 
@@ -24,6 +26,24 @@ def parser() -> argparse.ArgumentParser:
     i.add_argument("corpus")
     i.add_argument("index")
     i.add_argument("--max_rows", type=int)
+    v = sub.add_parser("embed")
+    v.add_argument("index")
+    v.add_argument("vectors")
+    v.add_argument("--dim", type=int, default=64)
+    v.add_argument("--max_docs", type=int)
+    k = sub.add_parser("cluster")
+    k.add_argument("vectors")
+    k.add_argument("folder", help="gets the tables centroids and vectors, the latter a folder for each cluster")
+    k.add_argument("--clusters", type=int, default=1024)
+    t = sub.add_parser("train")
+    t.add_argument("items", help="Parquet table (list, label, features)")
+    t.add_argument("model")
+    t.add_argument("--list_size", type=int, default=11)
+    t.add_argument("--epochs", type=int, default=25)
+    t.add_argument("--batch_size", type=int, default=64)
+    t.add_argument("--lr", type=float, default=5e-4)
+    t.add_argument("--hidden_dim", type=int, default=256)
+    t.add_argument("--resume", action="store_true", help="go on from the last state in the model's folder")
     s = sub.add_parser("search")
     s.add_argument("index")
     s.add_argument("--mode", required=True, choices=[m.value for m in SearchMode])
@@ -69,6 +89,25 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None, lines
         began = time.time()
         write_index(read_corpus(spark, a.corpus, a.max_rows), a.index)
         print(f"indexed in {time.time() - began:.1f} s")
+    elif a.command == "embed":
+        docs = SearchIndex.load(spark, a.index).docs
+        embed(docs, hashing_encoder(a.dim), a.dim, max_docs=a.max_docs).write.mode("overwrite").parquet(a.vectors)
+        n = spark.read.parquet(a.vectors).count()
+        spark.createDataFrame([(a.dim, n)], "dim int, n bigint").coalesce(1).write.mode("overwrite").parquet(f"{a.vectors}_about")
+        print(f"{n} vectors of {a.dim} numbers")
+    elif a.command == "cluster":
+        vectors = spark.read.parquet(a.vectors)
+        cut(fit_clusters(vectors, a.clusters)).write.mode("overwrite").parquet(f"{a.folder}/centroids")
+        assign_clusters(vectors, spark.read.parquet(f"{a.folder}/centroids")).write.mode("overwrite").partitionBy("cluster").parquet(f"{a.folder}/vectors")
+    elif a.command == "train":
+        x = collect_lists(spark.read.parquet(a.items), "list", a.list_size)
+        n = len(x)
+        start = RankingModel.load(spark, f"{a.model}/last") if a.resume else None
+        best, last, history = train(x[: n * 8 // 10], x[n * 8 // 10 : n * 9 // 10], a.hidden_dim, a.epochs, a.batch_size, a.lr, start=start)
+        best.save(spark, f"{a.model}/best")
+        last.save(spark, f"{a.model}/last")
+        mrr, ndcg = metrics(best.forward(x[n * 9 // 10 :]))
+        print(f"{n} lists, loss {history[-1]['train_loss']:.4f}, test MRR@10 {mrr:.4f}, nDCG@10 {ndcg:.4f}")
     else:
         answer(open_engine(spark, a), a, lines if lines is not None else sys.stdin)
 

@@ -22,6 +22,7 @@ class RankingModel:
 
     weights: list[np.ndarray]
     biases: list[np.ndarray]
+    state: dict | None = None  # epochs and steps done, and the optimiser's moments: what training goes on from
 
     @staticmethod
     def random(input_dim: int = 10, hidden_dim: int = 128, seed: int = 0) -> RankingModel:
@@ -38,14 +39,17 @@ class RankingModel:
         return x[..., 0]
 
     def save(self, spark: SparkSession, path: str) -> None:
-        """One row of JSON: dimensions and weights."""
+        """One row of JSON: dimensions, weights, and the optimiser's state where there is one."""
         state = {"input_dim": len(self.weights[0]), "hidden_dim": len(self.biases[0]), "weights": [w.tolist() for w in self.weights], "biases": [b.tolist() for b in self.biases]}
+        if self.state:
+            state["training"] = {k: [x.tolist() for x in v] if k in ("first", "second") else v for k, v in self.state.items()}
         spark.createDataFrame([(json.dumps(state),)], "state string").coalesce(1).write.mode("overwrite").parquet(path)
 
     @staticmethod
     def load(spark: SparkSession, path: str) -> RankingModel:
         s = json.loads(spark.read.parquet(path).first()["state"])
-        return RankingModel([np.array(w) for w in s["weights"]], [np.array(b) for b in s["biases"]])
+        t = s.get("training")
+        return RankingModel([np.array(w) for w in s["weights"]], [np.array(b) for b in s["biases"]], t and {k: [np.array(x) for x in v] if k in ("first", "second") else v for k, v in t.items()})
 
     def scorer(self, spark: SparkSession) -> Callable[[DataFrame], DataFrame]:
         """A function that adds the column score to a table with the ten features; weights are broadcast once."""
@@ -90,15 +94,17 @@ def collect_lists(samples: DataFrame, by: str, size: int, max_lists: int = 200_0
     return np.array([r["f"] for r in rows], float)
 
 
-def train(train_lists: np.ndarray, val_lists: np.ndarray, hidden_dim: int = 128, epochs: int = 25, batch: int = 64, rate: float = 5e-4, seed: int = 0, twice: bool = True, log: str | None = None) -> tuple[RankingModel, RankingModel, list[dict]]:
+def train(train_lists: np.ndarray, val_lists: np.ndarray, hidden_dim: int = 128, epochs: int = 25, batch: int = 64, rate: float = 5e-4, seed: int = 0, twice: bool = True, log: str | None = None, start: RankingModel | None = None) -> tuple[RankingModel, RankingModel, list[dict]]:
     """Adam over shuffled batches. Gives the model of the best mean of MRR and nDCG on val_lists, the last model, and a
-    record of each epoch, written as JSON lines to `log` if it is named."""
-    rng = np.random.default_rng(seed)
-    m = RankingModel.random(train_lists.shape[2], hidden_dim, seed)
+    record of each epoch, written as JSON lines to `log` if it is named. From `start`, a last model, training goes on as if
+    it had not been broken off."""
+    m = RankingModel([w.copy() for w in start.weights], [b.copy() for b in start.biases]) if start else RankingModel.random(train_lists.shape[2], hidden_dim, seed)
     params = [*m.weights, *m.biases]
-    first, second = [np.zeros_like(p) for p in params], [np.zeros_like(p) for p in params]
-    best, best_at, history, step = None, -1.0, [], 0
-    for epoch in range(epochs):
+    done = (start.state if start else None) or {"epoch": 0, "step": 0, "first": [np.zeros_like(p) for p in params], "second": [np.zeros_like(p) for p in params]}
+    first, second, step = [x.copy() for x in done["first"]], [x.copy() for x in done["second"]], done["step"]
+    best, best_at, history = None, -1.0, []
+    for epoch in range(done["epoch"], done["epoch"] + epochs):
+        rng = np.random.default_rng([seed, epoch])
         began, losses = time.time(), []
         order = rng.permutation(len(train_lists))
         for at in range(0, len(order), batch):
@@ -122,6 +128,7 @@ def train(train_lists: np.ndarray, val_lists: np.ndarray, hidden_dim: int = 128,
         history.append({"epoch": epoch, "train_loss": sum(losses) / max(1, len(order)), "val_loss": loss_and_gradient(scores, twice)[0], "mrr": mrr, "ndcg": ndcg, "seconds": time.time() - began})
         if (mrr + ndcg) / 2 > best_at:
             best_at, best = (mrr + ndcg) / 2, RankingModel([w.copy() for w in m.weights], [b.copy() for b in m.biases])
+    m.state = {"epoch": done["epoch"] + epochs, "step": step, "first": first, "second": second}
     if log:
         Path(log).write_text("".join(json.dumps(h) + "\n" for h in history))
     return best or m, m, history

@@ -55,6 +55,35 @@ def test_training_learns(spark, tmp_path):
     assert sorted(got) == pytest.approx(sorted(best.forward(x[0])))
 
 
+def test_training_goes_on(spark, tmp_path):
+    x = np.random.default_rng(2).uniform(size=(60, 4, 10))
+    _, whole, _ = ranker.train(x[:40], x[40:], 8, epochs=4)
+    _, half, _ = ranker.train(x[:40], x[40:], 8, epochs=2)
+    half.save(spark, str(tmp_path))
+    _, again, history = ranker.train(x[:40], x[40:], 8, epochs=2, start=ranker.RankingModel.load(spark, str(tmp_path)))
+    assert all(np.allclose(a, b) for a, b in zip(whole.weights, again.weights)) and [h["epoch"] for h in history] == [2, 3]
+
+
+def test_commands_of_training_and_vectors(spark, tmp_path, capsys):
+    from rankloom import cli
+
+    (tmp_path / "c.tsv").write_text("".join(f"d{i}\tu\tred fox {i}\tbody {i % 3}\n" for i in range(12)))
+    p = lambda x: str(tmp_path / x)
+    cli.main(["index", p("c.tsv"), p("ix")], spark)
+    cli.main(["embed", p("ix"), p("v"), "--dim", "16"], spark)
+    assert tuple(spark.read.parquet(p("v_about")).first()) == (16, 12)
+    cli.main(["cluster", p("v"), p("cl"), "--clusters", "3"], spark)
+    assert spark.read.parquet(p("cl/vectors")).count() == 12 and spark.read.parquet(p("cl/centroids")).count() <= 3
+    cli.main(["search", p("ix"), "--mode", "SEMANTIC", "--vectors", p("cl/vectors"), "--centroids", p("cl/centroids"), "--dim", "16"], spark, ["red fox 3"])
+    rng = np.random.default_rng(0)
+    items = [(i, int(j == 0), [float(z) for z in rng.uniform(size=10)]) for i in range(40) for j in range(3)]
+    spark.createDataFrame(items, "list int, label int, features array<double>").write.parquet(p("items"))
+    for more in ([], ["--resume"]):
+        cli.main(["train", p("items"), p("m"), "--list_size", "3", "--epochs", "2", "--hidden_dim", "8", *more], spark)
+    assert ranker.RankingModel.load(spark, p("m/last")).state["epoch"] == 4
+    assert capsys.readouterr().out.count("40 lists") == 2
+
+
 def test_collect_lists(spark):
     df = spark.createDataFrame([(1, 1, [1.0]), (1, 0, [2.0]), (2, 1, [3.0])], "i int, label int, features array<double>")
     assert ranker.collect_lists(df, "i", 2).tolist() == [[[1.0], [2.0]]]
