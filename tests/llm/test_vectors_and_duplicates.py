@@ -98,6 +98,80 @@ def test_verified_share_falls(spark):
     assert share[1] < share[0] / 2
 
 
+@pytest.fixture
+def narrow(spark):
+    """Sets how many bytes of results the driver takes from the tasks of a stage."""
+    conf = spark.sparkContext._jsc.sc().conf()
+    before = conf.get("spark.driver.maxResultSize", "1g")
+    yield lambda size: conf.set("spark.driver.maxResultSize", size)
+    conf.set("spark.driver.maxResultSize", before)
+
+
+def recall(got, ids, m):
+    want, mine = brute(ids, m, 10), got.groupby("vec_id").neighbour.apply(set)
+    return np.mean([len(want[i] & mine[i]) / 10 for i in ids])
+
+
+def test_driver_takes_one_sample_and_not_one_of_each_task(spark, narrow):
+    m, ids = clustered(3000, seed=5), np.arange(3000)
+    df = table(spark, ids, m).repartition(24)
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "64k")  # a task for each file
+    narrow("512k")
+    try:
+        got = nb.nearest(df, sample_rows=400)
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    narrow("1g")
+    assert recall(got.toPandas(), ids, m) > 0.97
+
+
+def test_driver_takes_bits_of_rings_that_reach_each_other(spark, narrow):
+    """Without clusters every ring reaches every other, so lists of them grow with the square of their number."""
+    m, ids = np.random.default_rng(6).normal(size=(3000, 64)).astype("f4"), np.arange(3000)
+    narrow("1m")
+    got = nb.nearest(table(spark, ids, m), cell_rows=4)
+    narrow("1g")
+    assert recall(got.toPandas(), ids, m) >= 0.9
+
+
+@pytest.mark.parametrize("want", [1, 30, 299, 300, 1000])
+def test_sample_is_of_the_least_hashes(spark, want):
+    df = spark.range(300).select("id", F.array(F.col("id").cast("float"), F.lit(1.0).cast("float")).alias("v")).repartition(7)
+    first = [r["id"] for r in df.orderBy(F.xxhash64("id"), "id").limit(want).collect()]
+    assert nb.sample(df, 300, want).tolist() == [[i, 1] for i in first]
+
+
+def test_groups_stand_by_what_they_reach():
+    rng = np.random.default_rng(7)
+    for n in (1, 9, 70):
+        reach = (rng.random((n, n)) < 0.08) | np.eye(n, dtype=bool)
+        sizes, together = rng.integers(1, 50, n), 60
+        count, order, want, group, held = reach.sum(axis=1), [], {}, 0, 0
+        for start in sorted(range(n), key=lambda c: (-sizes[c], c)):
+            queue = [start]
+            for c in queue:
+                if c not in order:
+                    order.append(c)
+                    queue += sorted((x for x in range(n) if reach[c, x] and x not in order and count[x] <= 2 * count[c]), key=lambda x: (count[x], x))
+        for c in order:
+            if held and held + sizes[c] > together:
+                group, held = group + 1, 0
+            want[c], held = group, held + sizes[c]
+        assert nb._groups(np.packbits(reach, axis=1, bitorder="little"), sizes, together).tolist() == [want[c] for c in range(n)]
+
+
+def test_rings_reached_are_those_of_the_triangle_inequality():
+    rng = np.random.default_rng(8)
+    unit = lambda x: (x / np.linalg.norm(x, axis=1)[:, None]).astype("f4")
+    q, c = unit(rng.normal(size=(40, 6))), unit(rng.normal(size=(25, 6)))
+    rings = np.array(sorted(rng.choice([i * 8 + b for i in range(25) for b in range(5)], 80, replace=False)))
+    radius = rng.uniform(0, 0.4, 40)
+    edges, d = [0, *nb.BANDS, 2.0], np.sqrt(np.maximum(0, 2 - 2 * q @ c.T))
+    want = [any(d[i, r // 8] - radius[i] <= edges[r % 8 + 1] + 1e-5 and d[i, r // 8] + radius[i] >= edges[r % 8] - 1e-5 for i in range(40)) for r in rings]
+    assert nb.reaches(q, radius, c, rings).tolist() == want and not all(want)
+
+
 # --- near-duplicates ---------------------------------------------------------------------------------------------------
 
 
