@@ -6,9 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from rankloom.operators.index import SearchIndex, corpus_stats_of, lengths_of, postings_of, trigrams_of
+from rankloom.operators.index import SearchIndex, corpus_stats_of, lengths_of, postings_of, tokenized, trigrams_of
 
-TABLES = ("docs", "postings", "doc_stats")
+TABLES = ("docs", "tokens", "postings", "doc_stats")
 
 
 def ingest(stream: DataFrame, path: str, checkpoint: str, trigger: dict | None = None) -> StreamingQuery:
@@ -26,7 +26,8 @@ def ingest(stream: DataFrame, path: str, checkpoint: str, trigger: dict | None =
             if "PATH_NOT_FOUND" not in str(e):
                 raise
         docs = docs.select("doc_id", "docid", *[F.coalesce(c, F.lit("")).alias(c) for c in ("url", "title", "body")]).persist()
-        for name, df in (("postings", postings_of(docs)), ("doc_stats", lengths_of(docs)), ("docs", docs)):
+        words = tokenized(docs)
+        for name, df in (("tokens", words), ("postings", postings_of(words)), ("doc_stats", lengths_of(words)), ("docs", docs)):
             df.write.mode("overwrite").parquet(f"{path}/{name}/epoch={epoch}")
         docs.unpersist()
 
@@ -36,6 +37,6 @@ def ingest(stream: DataFrame, path: str, checkpoint: str, trigger: dict | None =
 
 def open_index(spark: SparkSession, path: str) -> SearchIndex:
     """The index of all batches so far; statistics are combined at reading."""
-    docs, postings, lengths = (spark.read.parquet(f"{path}/{t}").drop("epoch") for t in TABLES)
+    docs, words, postings, lengths = (spark.read.parquet(f"{path}/{t}").drop("epoch") for t in TABLES)
     terms = postings.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf_body").alias("in_bodies"))
-    return SearchIndex(docs, postings, terms.select("term", "df"), trigrams_of(terms.where("in_bodies > 0")), lengths, corpus_stats_of(lengths))
+    return SearchIndex(docs, words, postings, terms.select("term", "df"), trigrams_of(terms.where("in_bodies > 0")), lengths, corpus_stats_of(lengths))

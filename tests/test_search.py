@@ -8,6 +8,7 @@ from rankloom.operators.index import SearchIndex, build_index, write_index
 from rankloom.operators.search import FEATURES, SearchEngine, as_batch
 from rankloom.operators.spelling import corrections
 from rankloom.plans.query_language import SearchMode
+from rankloom.queries import queries
 
 CORPUS = [
     ("d0", "u0", "red fox", "the quick red fox jumps over the lazy dog"),
@@ -148,3 +149,27 @@ def test_text_functions(spark):
 def test_empty_corpus(spark):
     e = SearchEngine(build_index(spark.createDataFrame([], "docid string, url string, title string, body string")))
     assert e.search(["a"], "OR").count() == 0
+
+
+@pytest.fixture(scope="module")
+def tables(spark, tmp_path_factory):
+    """The corpus with queries of which no id is divisible by 50."""
+    d = str(tmp_path_factory.mktemp("tables"))
+    # padding makes the words rare enough to be kept
+    docs = CORPUS + [(f"e{i:02}", "u", f"pad{i} more{i}", f"filler{i} only{i}") for i in range(60)]
+    spark.createDataFrame(docs, "docid string, url string, title string, body string").write.parquet(f"{d}/msmarco_docs.parquet")
+    spark.createDataFrame([(1, "red fox"), (2, "lazy dog quick"), (3, "red fox jumps"), (7, "zzz"), (8, None), (9, "")], "queryid bigint, query string").write.parquet(f"{d}/train_queries.parquet")
+    return d
+
+
+def by_query(df):
+    out = {}
+    for r in df.collect():
+        out.setdefault(r["qid"], set()).add(r["doc_id"])
+    return out
+
+
+def test_match_not_answers_every_query(spark, tables):
+    got = by_query(queries()["match_not"](spark, tables))
+    assert set(got) == {1, 2, 3, 7} and got[7] == set(range(66))
+    assert got[1] == {4, *range(6, 66)} and got[2] == {4, *range(6, 66)}
