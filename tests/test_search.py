@@ -173,3 +173,9 @@ def test_match_not_answers_every_query(spark, tables):
     got = by_query(queries()["match_not"](spark, tables))
     assert set(got) == {1, 2, 3, 7} and got[7] == set(range(66))
     assert got[1] == {4, *range(6, 66)} and got[2] == {4, *range(6, 66)}
+
+
+def test_boolean_shapes_answer_every_query(spark, tables):
+    got = by_query(queries()["boolean_shapes"](spark, tables))
+    assert {q // 10 for q in got} == {2, 3}
+    assert (got[20], got[24], got[25], got[30], got[39]) == ({0, 1}, {0, 1, 2, 3, 5}, {1}, {0, 5}, {0})
