@@ -159,6 +159,8 @@ def tables(spark, tmp_path_factory):
     docs = CORPUS + [(f"e{i:02}", "u", f"pad{i} more{i}", f"filler{i} only{i}") for i in range(60)]
     spark.createDataFrame(docs, "docid string, url string, title string, body string").write.parquet(f"{d}/msmarco_docs.parquet")
     spark.createDataFrame([(1, "red fox"), (2, "lazy dog quick"), (3, "red fox jumps"), (7, "zzz"), (8, None), (9, "")], "queryid bigint, query string").write.parquet(f"{d}/train_queries.parquet")
+    v = spark.range(66).selectExpr("id AS vec_id", "CASE WHEN id < 6 THEN concat('d', id) ELSE concat('e', lpad(id - 6, 2, '0')) END AS docid", "transform(sequence(1, 64), i -> cast(sin(id * i) + 2 AS float)) AS embedding")
+    v.write.parquet(f"{d}/doc_vectors.parquet")
     return d
 
 
@@ -179,3 +181,16 @@ def test_boolean_shapes_answer_every_query(spark, tables):
     got = by_query(queries()["boolean_shapes"](spark, tables))
     assert {q // 10 for q in got} == {2, 3}
     assert (got[20], got[24], got[25], got[30], got[39]) == ({0, 1}, {0, 1, 2, 3, 5}, {1}, {0, 5}, {0})
+
+
+@pytest.mark.parametrize("name", ["features_topk", "reranked_results", "match_boolean_nested", "match_phrase", "semantic_search", "semantic_lexical_join"])
+def test_no_row_of_query_and_document_is_shuffled(spark, tables, monkeypatch, name):
+    monkeypatch.setattr("rankloom.queries._batch", lambda *_: [(50, "red fox"), (100, "lazy dog quick")])
+    monkeypatch.setattr("rankloom.queries._title_starts", lambda *_: [(50, "red fox")])
+
+    def refuse(*_):
+        raise AssertionError("pairs are gathered by query and document")
+
+    monkeypatch.setattr(SearchEngine, "_grouped", refuse)
+    got = by_query(queries()[name](spark, tables).withColumn("doc_id", F.lit(0)))
+    assert 50 in got or name == "match_boolean_nested" and 100 in got
